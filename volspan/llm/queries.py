@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import token_files
 from .common import read_table
 from .decontaminate import find_contamination, items_digest
+from .jaccard_join import jaccard_classes
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
 
@@ -23,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder, _tokenizer())
