@@ -1,27 +1,44 @@
-"""The thin ``opN_<name>`` queries: each applies its operator to its whole table and derives the contract's columns."""
+"""The thin ``opN_<name>`` queries: each applies its operator to its whole table and derives the contract's columns.
+
+None has SQL: tokenizers, estimates, models, hashes of spans and label propagation are beyond it, so the tests hold them against brute force, round trips and held-out labels.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import token_files
+from .chat import format_chats, read_chats
 from .common import read_table
 from .decontaminate import find_contamination, items_digest
 from .jaccard_join import jaccard_classes
 from .packing import pack_documents
+from .robust import quality_rules
+from .rule_ensemble import quality_scores, train
+from .secrets import find_secrets
+from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 
+# Fixed value of the contract: what both turns of conversation -1 say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer())
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +47,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
-    manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder, _tokenizer())
+    manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer())
     return token_files.read_token_files(manifest, folder).drop("ids")
 
 
+def op5_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -43,6 +64,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest("items").alias("items_sha256"), "contaminated")
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, train(docs, read_table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    back = read_chats(format_chats(turns.unionByName(control)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents")).drop("findings")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
