@@ -1,4 +1,6 @@
 """All named queries and their oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from volspan.plans.oracles import ORACLES
+from volspan.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

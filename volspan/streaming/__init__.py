@@ -1,0 +1 @@
+"""Bars over a stream of trade-like events."""
