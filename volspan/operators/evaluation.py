@@ -19,7 +19,7 @@ LOSSES = ("mse", "mae", "qlike")
 
 def label_regimes(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds ``crisis``: the actual is above the series' ``threshold``."""
-    return forecasts.join(F.broadcast(thresholds) if thresholds.limit(10_001).count() <= 10_000 else thresholds, "series_id").withColumn("crisis", F.col("actual") > F.col("threshold")).drop("threshold")
+    return forecasts.join(thresholds, "series_id").withColumn("crisis", F.col("actual") > F.col("threshold")).drop("threshold")
 
 
 def losses_long(forecasts: DataFrame) -> DataFrame:
