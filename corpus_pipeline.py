@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from volspan.llm.common import materialize, read_table
 from volspan.llm.decontaminate import remove_contaminated
@@ -19,7 +20,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, trained on their labelled ones, takes for good; all columns as they are."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return quality_scores(docs, model).filter("predicted = 1").select(*docs.columns)
+    scored = quality_scores(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text"), model)
+    return scored.filter("predicted = 1").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,8 +169,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without those that ``find_contamination`` flags; null ids are matched too."""
-    bad = find_contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = find_contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def items_digest(items) -> object:

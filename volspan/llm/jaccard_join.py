@@ -192,4 +192,4 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without near copies: of each class the one with the least id stays, all columns as they are; null ids stay."""
     gone = jaccard_classes(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

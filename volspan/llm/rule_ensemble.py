@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, **options
 
 
 def quality_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All rows and columns of ``docs`` with ``held_out, score`` (0 to 1) and ``predicted`` (1 where the score is at least 0.3). Null and empty texts have statistics of 0."""
-    rows = shape_statistics(docs)
-    scored = rows.withColumn("_score", model.score())
-    return scored.select(*docs.columns, held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    """All rows and columns of ``docs`` with ``held_out, score`` (0 to 1) and ``predicted`` (1 where the score is at least 0.3); columns that had these names are replaced. Null
+    and empty texts have statistics of 0. The other columns travel in a struct, so no name can clash with a statistic's."""
+    rows = shape_statistics(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))).withColumn("_score", model.score())
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    return rows.select(*kept, held_out("_row.doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
