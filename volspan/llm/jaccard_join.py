@@ -4,8 +4,8 @@
 2. MinHash bands, their number and rows chosen for a target recall at the threshold, are shuffled on their hashes; documents that share a band are candidates. A
    bucket gives one edge per member (to its least member), and the connected groups of these edges are the candidate groups, so each set is shipped once, not once
    per band or pair.
-3. All pairs in a candidate group are verified on the full n-gram sets. A large group is dealt into blocks of about ``block_ngrams`` n-grams and one task takes each pair
-   of blocks, so memory is bounded and no link is lost. Tasks return counts of links per document and a spanning forest of the links, never the pairs.
+3. All pairs in a candidate group are verified on the full n-gram sets. A large group is dealt into blocks of about ``block_ngrams`` n-grams and ``block_rows`` sets at most, and
+   one task takes each pair of blocks, so memory is bounded and no link is lost. Tasks return counts of links per document and a spanning forest of the links, never the pairs.
 
 Words are runs of characters other than the space and \\x09-\\x0D, ASCII letters lower-cased; a text of one to four words has one n-gram, all its words.
 """
@@ -85,8 +85,8 @@ def _sets(n: int):
     return run
 
 
-def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets with at least the threshold; ``side`` None-like zeros mean all pairs, else only those of side 0 with side 1."""
+def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of sets with at least the threshold, both ways; where ``side`` has both 0 and 1, only pairs of the one with the other."""
     owner = np.repeat(np.arange(len(size)), size)
     _, gram, found = np.unique(grams, return_inverse=True, return_counts=True)
     shared = found[gram] > 1
@@ -106,10 +106,23 @@ def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: flo
         both += block[left] @ block[right].T
     union = size[left][:, None] + size[right][None, :] - both
     hit = both >= threshold * union - 1e-4  # whole numbers below 2**24: the margin only guards the product's rounding
-    if not across:
-        hit &= np.tri(n, n, -1, dtype=bool)
-    x, y = np.nonzero(hit)
-    yield left[x], right[y]
+    if across:
+        linked = np.zeros((n, n), bool)
+        linked[np.ix_(left, right)] = hit
+        return linked | linked.T
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row the first row that it is connected with."""
+    root, seen = np.arange(len(linked)), ~linked.any(axis=1)
+    for k in np.flatnonzero(~seen).tolist():
+        front = np.array([k]) if not seen[k] else np.zeros(0, np.int64)
+        while len(front):
+            root[front], seen[front] = k, True
+            front = np.flatnonzero(linked[front].any(axis=0) & ~seen)
+    return root
 
 
 def _verify(threshold: float):
@@ -120,23 +133,9 @@ def _verify(threshold: float):
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in cells]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
-        links = np.zeros(len(ids), np.int64)
-        root = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in _links(size, np.concatenate(sets), side, threshold):
-            np.add.at(links, x, copies[y])
-            np.add.at(links, y, copies[x])
-            for a, b in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[a] = b
-        keep = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[[find(k) for k in keep.tolist()]] if len(keep) else ids[:0]), pa.array(links[keep])], names)
+        linked = _links(size, np.concatenate(sets), side, threshold)
+        keep = np.flatnonzero(linked.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[_roots(linked)[keep]]), pa.array((linked @ copies)[keep])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -155,7 +154,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_ngrams: int = 400_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_ngrams: int = 400_000, block_rows: int = 1024) -> DataFrame:
     """One row per document: ``doc_id, class_id, set_id, n_links``.
 
     ``class_id`` is the least id among the documents connected by links, ``set_id`` the least id of those with the same words, ``n_links`` the number of other documents
@@ -173,7 +172,7 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     buckets = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     candidates = components(banded.join(buckets, "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
     candidates = candidates.join(classes.select("id", "copies", "words"), "id")
-    total = candidates.groupBy("component").agg(F.ceil(F.sum("words") / block_ngrams).cast("int").alias("blocks"))
+    total = candidates.groupBy("component").agg(F.ceil(F.greatest(F.sum("words") / block_ngrams, F.count("*") / block_rows)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = candidates.join(total, "component").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "copies", F.col("component").alias("group"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
