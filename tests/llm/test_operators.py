@@ -198,6 +198,8 @@ def test_classes_against_all_pairs(docs, rows, empty):
         assert (got[i]["class_id"], got[i]["n_links"]) == (find(i), links[k]), i
     small_blocks = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs, block_ngrams=300).collect()}
     assert all(small_blocks[i] == (got[i]["class_id"], got[i]["n_links"]) for i in got)
+    few_rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs, block_rows=2).collect()}
+    assert all(few_rows[i] == (got[i]["class_id"], got[i]["n_links"]) for i in got)
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
@@ -230,6 +232,19 @@ def test_shards_of_copies_only(spark):
     assert set(collections.Counter(r["shard"] for r in got).values()) == {20}
 
 
+@pytest.mark.parametrize("length", [8, 13, 24])
+def test_bucket_sort_finds_equal_windows(length):
+    rng = np.random.default_rng(length)
+    data = rng.integers(250, 253, 3000).astype(np.uint8)
+    data[700:1000], data[2000:2200] = data[:300], 0
+    start = np.arange(len(data) - length + 1)
+    group = rng.integers(0, 3, len(start))
+    seen = collections.Counter((int(g), data[s : s + length].tobytes()) for g, s in zip(group, start, strict=True))
+    want = [seen[int(g), data[s : s + length].tobytes()] > 1 for g, s in zip(group, start, strict=True)]
+    assert suffix_dedup.repeated_windows(data, start, group, length).tolist() == want
+    assert suffix_dedup.repeated_windows(data, start[:0], group[:0], length).tolist() == []
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_repeats(docs, rows, empty, hot):
     got = suffix_dedup.remove_repeats(docs.dropDuplicates(["doc_id", "text"]).filter("doc_id is not null"), hot_rows=hot).collect()

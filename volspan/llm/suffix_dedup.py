@@ -6,10 +6,11 @@ they stand, and about one position in seventy is one. A segment is the run of wi
 1. Segments with equal text (fingerprint of the whole segment) are repeats in all their windows. Repeats inside one step of a task are combined before the
    shuffle; the rest are sorted by anchor in the shuffle and read as a stream, so a group of any size takes constant memory.
 2. Segments that share an anchor but not their text (an edit or the edge of a passage is near) are suffixes to compare: sampled splitters range-partition them by
-   the leading bytes at the anchor, each bucket sorts its windows by fingerprint and keeps those that occur twice. Groups above ``hot_rows`` go to
-   grouped counts of single windows, which no task needs to see whole.
+   the leading bytes at the anchor, each bucket sorts its windows by multikey quicksort and keeps those that occur twice. All segments of an anchor lie in one bucket,
+   and batches inside a bucket are joined up to a change of anchor, so no comparison ends at a boundary. Groups above ``hot_rows`` go to grouped counts of single windows,
+   which no task needs to see whole.
 
-Fingerprints have 52 (anchors) or 64 bits (texts); an anchor's collision only adds comparisons.
+Fingerprints have 52 (anchors) or 64 bits (texts); an anchor's collision only adds comparisons. Buckets compare the bytes themselves.
 """
 
 from __future__ import annotations
@@ -165,12 +166,55 @@ def _contexts(length: int):
     return run
 
 
-def _window_prints(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of a batch of contexts: row, place in the row, fingerprint."""
+def _leading_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that orders like them (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
+def repeated_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` (8 at least) bytes from each start equal those from another start of its group.
+
+    Multikey quicksort, one step of all parts at a time: by the eight bytes at its depth a part falls into those below, equal to and above the bytes of one of its rows; the
+    equal ones go on eight bytes deeper, and a row that is alone leaves. Rows still together after the last byte are equal.
+    """
+    depths = np.array([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])])
+    keys, rng = _leading_bytes(data), np.random.default_rng(0)
+    hit = np.zeros(len(start), bool)
+    rows = np.argsort(group, kind="stable")
+    code = group[rows]
+    depth = None
+    while len(rows):
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        size = np.diff(np.append(first, len(rows)))
+        depth = np.zeros(len(first), np.int64) if depth is None else depth[code[first] // 3] + (code[first] % 3 == 1)
+        done = depth == len(depths)
+        hit[rows[np.repeat(done & (size > 1), size)]] = True
+        more = ~done & (size > 1)
+        rows, size, depth = rows[np.repeat(more, size)], size[more], depth[more]
+        part = np.repeat(np.arange(len(size)), size)
+        key = keys[start[rows] + depths[depth][part]]
+        pivot = key[np.cumsum(size) - size + rng.integers(0, size)][part] if len(size) else key
+        code = 3 * part + 1 + (key > pivot) - (key < pivot)
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+    return hit
+
+
+def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of a batch of contexts: row, place in the row, start in the bytes; and the bytes."""
     data, off = utf8_view(batch["context"])
     data, off = data[off[0] : off[-1]], off - off[0]
     row, place = spread(np.diff(off) - length + 1)
-    start = off[:-1][row] + place
+    return row, place, off[:-1][row] + place, data
+
+
+def _window_prints(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of a batch of contexts: row, place in the row, fingerprint."""
+    row, place, start, data = _windows(batch, length)
     return row, place, PrefixHash(data).of(start, start + length)
 
 
@@ -194,14 +238,9 @@ def _compare(length: int, rows_at_once: int):
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        row, place, prints = _window_prints(batch, length)
-        order = np.argsort(prints, kind="stable")
-        s = prints[order]
-        twice = np.zeros(len(s), bool)
-        twice[1:] = s[1:] == s[:-1]
-        twice[:-1] |= s[1:] == s[:-1]
-        hit = np.empty(len(s), bool)
-        hit[order] = twice
+        row, place, start, data = _windows(batch, length)
+        anchor = np.unique(batch["anchor"].to_numpy(), return_inverse=True)[1]
+        hit = repeated_windows(data, start, anchor[row], length)
         return _runs(batch, row, place, hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
