@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from volspan.llm import chat, decontaminate, jaccard_join, packing, robust, rule_ensemble, secrets, sharding, suffix_dedup, token_files
+from volspan.llm import chat, components, decontaminate, jaccard_join, packing, robust, rule_ensemble, secrets, sharding, suffix_dedup, token_files
 from volspan.llm.queries import CONTROL_TEXT, tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, shard string, score double, _rank int, `group` int, component long, s_digits double"
@@ -171,6 +171,18 @@ def test_frames_are_independent_and_checked(tmp_path):
         list(damaged.documents([20]))
 
 
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(k + 1, k) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(999, k) for k in range(600, 640)] + [(700, 700)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((x["id"], x["component"]) for x in got) == sorted(root.items())
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_classes_against_all_pairs(docs, rows, empty):
     got = {r["doc_id"]: r for r in jaccard_join.jaccard_classes(docs).collect() if r["doc_id"] is not None}
     some = [(i, t) for i, t, *_ in rows if i is not None]
