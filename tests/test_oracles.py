@@ -7,7 +7,7 @@ import __spark_entry__
 from volspan import catalog
 
 SF = "/root/testdata/sf0.01"
-SOME = ["daily_bars", "hourly_bars", "feature_table", "asof_params", "rolling_ols_1000", "ridge_kitchen_sink", "mz_regime_correction", "dm_tests", "correlogram_rv", "arch_lm"]
+SOME = ["daily_bars", "hourly_bars", "feature_table", "asof_params", "event_dummy", "regime_blend_split", "rolling_ols_1000", "ridge_kitchen_sink", "mz_regime_correction", "dm_tests", "correlogram_rv", "arch_lm"]
 
 
 @pytest.fixture(scope="module")

@@ -107,7 +107,7 @@ add("crisis_thresholds", SCHED, "series_id ~threshold kind", " UNION ALL ".join(
 add("regime_labels_exante", FEATS, "series_id regime n ~mean_rv", "SELECT series_id, CASE WHEN rv1_pctile >= 0.9 THEN 'crisis' ELSE 'calm' END AS regime, count(*) AS n, avg(rv) AS mean_rv FROM feats GROUP BY 1, 2")
 THRESHOLD = "thr AS (SELECT series_id, quantile_cont(rv, 0.9) AS threshold FROM sched WHERE NOT is_test GROUP BY series_id)"
 add("regime_labels_eval", f"{SCHED},\n{THRESHOLD}", "series_id dt ~rv crisis", "SELECT s.series_id, dt, rv, rv > threshold AS crisis FROM sched s JOIN thr t ON s.series_id = t.series_id WHERE is_test")
-CALENDAR = "cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS event_date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0)"
+CALENDAR = "cal AS (SELECT min(CAST(o_orderdate AS DATE)) AS event_date FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY date_trunc('month', o_orderdate))"
 add("event_calendar", CALENDAR, "event_date source", "SELECT event_date, CASE WHEN year(event_date) < 1995 THEN 'early' ELSE 'late' END AS source FROM cal")
 add("event_dummy", f"{BARS},\n{CALENDAR}", "series_id dt ~event_day", "SELECT series_id, dt, CASE WHEN dt IN (SELECT event_date FROM cal) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS event_day FROM bars")
 add("asof_params", SCHED, "series_id dt n_train", "SELECT s.series_id, s.dt, max(r.rn) AS n_train FROM sched s LEFT JOIN sched r ON r.series_id = s.series_id AND r.is_refit AND r.dt <= s.dt WHERE s.is_test GROUP BY 1, 2")
@@ -143,16 +143,28 @@ for _name, _expr in (
     add(_name, CORRECTED, "series_id dt ~actual ~forecast", f"SELECT s.series_id, dt, rv AS actual, greatest({_expr}, 1e-4::DOUBLE) AS forecast FROM ssched s JOIN mz ON s.series_id = mz.series_id AND s.refit_id = mz.refit_id WHERE usable")
 _combined = Spec("M3 Combined", (*HAR, "sigma"))
 add("combined_har_sigma", f"{GARCH},\n{ols('m', _combined, 'ssched')}", "series_id dt model ~actual ~forecast", forecast("m", _combined))
-GRID = f"""{CORRECTED},
+
+
+def grid(line: str) -> str:
+    """The grid search whose first forecast is ``line``."""
+    return f"""{CORRECTED},
 {ols("m", SPECS[0], "ssched")},
-inputs AS (SELECT m.series_id, m.refit_id, m.dt, m.tr, m.te, s.rv, s.rv1_pctile AS p, greatest(alpha_pooled + beta_pooled * sigma, 1e-4::DOUBLE) AS a, greatest(fit, 1e-4::DOUBLE) AS b FROM m JOIN ssched s ON m.series_id = s.series_id AND m.dt = s.dt JOIN mz ON mz.series_id = m.series_id AND mz.refit_id = m.refit_id),
+inputs AS (SELECT m.series_id, m.refit_id, m.dt, m.tr, m.te, s.rv, s.rv1_pctile AS p, greatest({line}, 1e-4::DOUBLE) AS a, greatest(fit, 1e-4::DOUBLE) AS b FROM m JOIN ssched s ON m.series_id = s.series_id AND m.dt = s.dt JOIN mz ON mz.series_id = m.series_id AND mz.refit_id = m.refit_id),
 tries AS (SELECT series_id, refit_id, rv, i, k, 1 / (1 + exp(-k * (p - (0.1::DOUBLE + i * 0.05::DOUBLE)))) AS w, a, b FROM inputs, range(0, 17) AS ci(i), range(1, 21) AS ck(k) WHERE tr),
 losses AS (SELECT series_id, refit_id, i, k, round(avg(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2) - ln(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2)) - 1), 12) AS loss FROM tries GROUP BY 1, 2, 3, 4),
 best AS (SELECT series_id, refit_id, 0.1::DOUBLE + i * 0.05::DOUBLE AS c, CAST(k AS DOUBLE) AS k, loss AS train_qlike FROM (SELECT *, row_number() OVER (PARTITION BY series_id, refit_id ORDER BY loss, i, k) AS pos FROM losses) AS o WHERE pos = 1)"""
-BLEND = f"""{GRID},
+
+
+def blend(line: str) -> str:
+    return f"""{grid(line)},
 blended AS (SELECT i.series_id, i.dt, i.rv AS actual, w, greatest(w * a + (1 - w) * b, 1e-4::DOUBLE) AS forecast, CASE WHEN p >= 0.9 THEN 'crisis' ELSE 'calm' END AS regime FROM (SELECT x.*, 1 / (1 + exp(-k * (p - c))) AS w FROM inputs x JOIN best ON x.series_id = best.series_id AND x.refit_id = best.refit_id WHERE te) AS i)"""
+
+
+POOLED, SPLIT = "alpha_pooled + beta_pooled * sigma", "CASE WHEN s.rv1_pctile >= 0.9 THEN alpha_crisis + beta_crisis * sigma ELSE alpha_calm + beta_calm * sigma END"
+GRID, BLEND = grid(POOLED), blend(POOLED)
 add("logistic_grid_search", GRID, "series_id refit_id ~c ~k ~train_qlike", "SELECT * FROM best")
-add("regime_blend", BLEND, "series_id dt ~actual ~forecast ~w regime", "SELECT * FROM blended")
+for _name, _line in (("regime_blend", POOLED), ("regime_blend_split", SPLIT)):
+    add(_name, blend(_line), "series_id dt ~actual ~forecast ~w regime", "SELECT * FROM blended")
 add("weight_distribution", BLEND, "series_id regime n ~mean ~median ~min ~max ~p10 ~p90 ~frac_above_95 ~frac_above_99", "SELECT series_id, regime, count(*) AS n, avg(w) AS mean, median(w) AS median, min(w) AS min, max(w) AS max, quantile_cont(w, 0.1) AS p10, quantile_cont(w, 0.9) AS p90, avg(CASE WHEN w > 0.95 THEN 1.0::DOUBLE ELSE 0 END) AS frac_above_95, avg(CASE WHEN w > 0.99 THEN 1.0::DOUBLE ELSE 0 END) AS frac_above_99 FROM blended GROUP BY 1, 2")
 
 

@@ -23,6 +23,7 @@ LOG_BEFORE = wf.Spec("M4 Log-HAR", tuple(fe.LOG_HAR), target="log_rv", log=True,
 MACRO = wf.Spec("M1-macro", (*fe.HAR, "event_day"))
 INFERENCE = wf.Spec("two features", ("rv1", "rv22"))
 H5 = wf.Spec("M1_h5", tuple(fe.HAR), target="target")
+H5_COMBINED = wf.Spec("M3_h5", (*fe.HAR, "sigma"), target="target")
 
 
 #: Decimal places of columns on the scale of prices or of their squares; others have six. Bars are exact and aren't rounded.
@@ -216,6 +217,24 @@ def h5_walk_forward(spark, d):
     return wf.walk_forward(rows, [H5], embargo=5)
 
 
+def _five_ahead(spark, d):
+    """Scheduled features beside the five-row target and the simulation that ends with the training rows."""
+    ahead = fe.forward_mean(series(spark, d)).select("series_id", "dt", "target")
+    paths = egarch.simulate(series(spark, d), origin="embargoed").withColumnRenamed("forecast", "sigma")
+    return wf.schedule(features(spark, d).join(ahead, ["series_id", "dt"]).dropna(subset=["target"]).join(paths, ["series_id", "dt"]))
+
+
+@query
+def h5_sim_raw(spark, d):
+    return _five_ahead(spark, d).filter("usable").select("series_id", "dt", F.col("target").alias("actual"), cor.floored(F.col("sigma"), cor.FORECAST_FLOOR).alias("forecast"))
+
+
+@query
+def h5_combined(spark, d):
+    rows = _five_ahead(spark, d)
+    return wf.predict(rows, wf.fit_models(rows, [H5_COMBINED], embargo=5), [H5_COMBINED])
+
+
 @query
 def ols_inference(spark, d):
     coefs = wf.fit_models(scheduled(spark, d), [INFERENCE])
@@ -303,14 +322,18 @@ def combined_har_sigma(spark, d):
     return wf.predict(rows, wf.fit_models(rows, [COMBINED]), [COMBINED])
 
 
-def _blend_inputs(spark, d):
+def _blend_inputs(spark, d, kind: str = "pooled", coefs=None, prefix: str = ""):
+    """(training, test) rows with the two forecasts that a blend weighs: ``vol``, corrected by regime as ``kind`` says, and ``har``."""
     rows = with_sigma(spark, d)
     har, mz = wf.fit_models(rows, [M1]), cor.mz_coefficients(training(rows))
-    both = har.select("series_id", "refit_id", "intercept", "coef").join(mz.select("series_id", "refit_id", "alpha_pooled", "beta_pooled"), ["series_id", "refit_id"])
+    if coefs is not None:
+        mz = coefs(training(rows), mz)
+    lines = [f"{c}_{prefix}{r}" for r in ("pooled", "crisis", "calm") for c in ("alpha", "beta")]
+    both = har.select("series_id", "refit_id", "intercept", "coef").join(mz.select("series_id", "refit_id", *lines), ["series_id", "refit_id"])
     fitted = F.col("intercept")
     for k, f in enumerate(M1.features):
         fitted = fitted + F.col("coef")[k] * F.col(f)
-    add = lambda x: x.join(both, ["series_id", "refit_id"]).withColumn("har", fitted).withColumn("vol", cor.corrected(F.col("sigma"), F.col("p"), "pooled"))
+    add = lambda x: x.join(both, ["series_id", "refit_id"]).withColumn("har", fitted).withColumn("vol", cor.corrected(F.col("sigma"), F.col("p"), kind, prefix))
     train = add(wf.training_rows(rows, ["rv", "sigma", "rv1_pctile", *fe.HAR]).withColumnRenamed("rv1_pctile", "p"))
     return train, add(rows.filter("usable").withColumnRenamed("rv1_pctile", "p"))
 
@@ -320,8 +343,8 @@ def logistic_grid_search(spark, d):
     return cor.grid_search(_blend_inputs(spark, d)[0])
 
 
-def _blended(spark, d):
-    train, test = _blend_inputs(spark, d)
+def _blended(spark, d, *how):
+    train, test = _blend_inputs(spark, d, *how)
     w, blend = cor.blend(F.col("p"), F.col("c"), F.col("k"), F.col("vol"), cor.floored(F.col("har"), cor.FORECAST_FLOOR))
     regime = F.when(cor.in_crisis(F.col("p")), "crisis").otherwise("calm")
     return test.join(cor.grid_search(train), ["series_id", "refit_id"]).select("series_id", "dt", F.col("rv").alias("actual"), blend.alias("forecast"), w.alias("w"), regime.alias("regime"))
@@ -332,6 +355,21 @@ def regime_blend(spark, d):
     return _blended(spark, d)
 
 
+@query
+def regime_blend_split(spark, d):
+    return _blended(spark, d, "regime")
+
+
+@query
+def regime_blend_qlike(spark, d):
+    return _blended(spark, d, "regime", cor.qlike_coefficients, "d_")
+
+
+@query
+def regime_blend_switch(spark, d):
+    return _blended(spark, d, "switch", cor.qlike_coefficients, "d_")
+
+
 @query
 def weight_distribution(spark, d):
     return ev.weight_distribution(_blended(spark, d))

@@ -59,7 +59,8 @@ def event_bars(events: DataFrame) -> DataFrame:
     return bars_from_trades(events, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"), ["ts", "event_id"], "hour")
 
 
-def order_calendar(orders: DataFrame, priority: str = "1-URGENT", every: int = 50) -> DataFrame:
-    """Dates of the orders of one priority whose key is a multiple of ``every``, labelled by half-decade."""
-    found = orders.filter((F.col("o_orderpriority") == priority) & (F.col("o_orderkey") % every == 0)).select(F.to_date("o_orderdate").alias("event_date")).distinct()
-    return found.withColumn("source", F.when(F.year("event_date") < 1995, "early").otherwise("late"))
+def order_calendar(orders: DataFrame, priority: str = "1-URGENT") -> DataFrame:
+    """Each month's first date with an order of one priority, labelled by half-decade."""
+    day = F.to_date("o_orderdate")
+    found = orders.filter(F.col("o_orderpriority") == priority).groupBy(F.trunc(day, "month").alias("month")).agg(F.min(day).alias("event_date"))
+    return found.select("event_date", F.when(F.year("event_date") < 1995, "early").otherwise("late").alias("source"))
