@@ -284,6 +284,26 @@ def test_repeats(docs, rows, empty, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_repeats_by_row_whatever_the_ids(spark, docs, rows, hot):
+    prose = lambda seed, n: "".join(random.Random(seed).choices("abcdefgh ", k=n))
+    shared = prose(1, 300)
+    more = [(None, prose(2, 2500) + shared), (None, shared[:250]), (None, prose(3, 900)), (70, prose(4, 700) + shared + prose(5, 90)), (70, prose(6, 230)), (71, prose(7, 400)), (71, prose(7, 400))]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = [(x[0], (x[1] or "").encode()) for x in [*rows, *more]]
+    seen = collections.Counter(b[k : k + 200] for _, b in texts for k in range(len(b) - 199))
+    expected = collections.Counter()
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        rest = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        expected[i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), rest] += 1
+    got = suffix_dedup.remove_repeats(table, hot_rows=hot).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == expected
+
+
 @pytest.mark.parametrize("block", [4_000_000, 30])
 def test_contamination(spark, docs, rows, empty, block):
     w = re.findall(decontaminate.__dict__.get("WORDS", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), rows[4][1])

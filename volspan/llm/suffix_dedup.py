@@ -10,6 +10,8 @@ they stand, and about one position in seventy is one. A segment is the run of wi
    and batches inside a bucket are joined up to a change of anchor, so no comparison ends at a boundary. Groups above ``hot_rows`` go to grouped counts of single windows,
    which no task needs to see whole.
 
+Each input row has a number of its own, written beside its compressed text before anything else, and segments, contexts and spans are joined on it; ids are only passed on.
+
 Fingerprints have 52 (anchors) or 64 bits (texts); an anchor's collision only adds comparisons. Buckets compare the bytes themselves.
 """
 
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, steps, utf8_view
+from .common import STEP_BYTES, materialize, partitions_for, steps, utf8_view
 from .textscan import PrefixHash, sliding_min, spread
 
 LENGTH, ANCHOR = 200, 64
@@ -68,7 +70,7 @@ def _pack(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def _emit_segments(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in steps(batches, "text"):
+        for part, data, off in _unpacked_steps(batches):
             s = _segments(data, off, length, anchor)
             if s is None:
                 continue
@@ -82,19 +84,19 @@ def _emit_segments(length: int, anchor: int):
             many = np.bincount(run_of)[run_of] > 1
             kind = np.where(new, many.astype(np.int8), np.int8(2))  # 0: alone here, 1: stands for repeats, 2: another of them, only passed on
             key = np.where(kind == 2, (where[order] * np.int64(0x9E3779B97F4A7C1)) >> np.int64(12), a)
-            ids = part.column("doc_id").take(pa.array(s["text"][order]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), ids, pa.array(where[order]), pa.array(kind)], ["anchor", "print", "doc_id", "at", "kind"])
+            owner = part.column("row").take(pa.array(s["text"][order]))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), owner, pa.array(where[order]), pa.array(kind)], ["anchor", "print", "row", "at", "kind"])
 
     return run
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor and fingerprint: whole repeats, and segments to compare. Holds one row between batches."""
-    names = ["doc_id", "at", "anchor", "todo", "full"]
+    names = ["row", "at", "anchor", "todo", "full"]
 
     def out(b: pa.RecordBatch, rows: np.ndarray, todo: int, full: np.ndarray) -> pa.RecordBatch:
         t = b.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([t["doc_id"], t["at"], t["anchor"], pa.array(np.full(len(rows), todo, np.int8)), pa.array(full)], names)
+        return pa.RecordBatch.from_arrays([t["row"], t["at"], t["anchor"], pa.array(np.full(len(rows), todo, np.int8)), pa.array(full)], names)
 
     held, held_done, earlier = None, False, False  # the last run's first row; whether it is known to be a repeat; whether its anchor had a run before
     for batch in batches:
@@ -138,30 +140,43 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for part, data, off in steps(batches, "text"):
         view = memoryview(np.ascontiguousarray(data))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack(view[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array([pack(view[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["row", "doc_id", "packed"])
 
 
 def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
+def _unpacked_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of packed batches holding about a step of text each, with their bytes and offsets from 0."""
+    for batch in batches:
+        texts, lo, size = [], 0, 0
+        for k, packed in enumerate(batch["packed"]):
+            texts.append(_unpack(packed.as_py()))
+            size += len(texts[-1])
+            if size >= STEP_BYTES or k + 1 == batch.num_rows:
+                off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                yield batch.slice(lo, len(texts)), np.frombuffer(b"".join(texts), np.uint8), off
+                texts, lo, size = [], k + 1, 0
+
+
 def _contexts(length: int):
     """Bytes that the windows of each segment to compare span, with the eight bytes at its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lead, anchor, at, full, text = [], [], [], [], [], []
+            owner, lead, anchor, at, full, text = [], [], [], [], [], []
             for row, packed in enumerate(batch["packed"]):
                 raw = _unpack(packed.as_py())
                 for s in batch["todo"][row].as_py():
                     start, n, place = s["at"] >> 20, s["at"] >> 10 & 1023, s["at"] & 1023
-                    ids.append(row)
+                    owner.append(row)
                     lead.append(int.from_bytes(raw[start + place : start + place + 8], "big") - (1 << 63))
                     anchor.append(s["anchor"])
                     at.append(s["at"])
                     full.append(s["full"])
                     text.append(raw[start : start + n + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(anchor, pa.int64()), batch["doc_id"].take(pa.array(ids, pa.int64())), pa.array(at, pa.int64()), pa.array(full, pa.bool_()), pa.array(text, pa.binary())], ["lead", "anchor", "doc_id", "at", "full", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(anchor, pa.int64()), batch["row"].take(pa.array(owner, pa.int64())), pa.array(at, pa.int64()), pa.array(full, pa.bool_()), pa.array(text, pa.binary())], ["lead", "anchor", "row", "at", "full", "context"])
 
     return run
 
@@ -223,14 +238,14 @@ def _runs(batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray, hit: np.nda
     hit = hit & ~batch["full"].to_numpy(zero_copy_only=False)[row]
     row, place = row[hit], place[hit]
     if not len(row):
-        return pa.RecordBatch.from_arrays([batch["doc_id"].slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int64())], ["doc_id", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([batch["row"].slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int64())], ["row", "lo", "hi"])
     new = np.empty(len(row), bool)
     new[0] = True
     new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
     start = batch["at"].to_numpy()[row[first]] >> 20
-    return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row[first])), pa.array(start + place[first]), pa.array(start + place[last])], ["doc_id", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([batch["row"].take(pa.array(row[first])), pa.array(start + place[first]), pa.array(start + place[last])], ["row", "lo", "hi"])
 
 
 def _compare(length: int, rows_at_once: int):
@@ -269,7 +284,7 @@ def _single_windows(length: int):
                 batch = big.slice(lo, 4096)
                 row, place, prints = _window_prints(batch, length)
                 at = (batch["at"].to_numpy() >> 20)[row] + place
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch["doc_id"].take(pa.array(row)), pa.array(at), batch["full"].take(pa.array(row))], ["print", "doc_id", "lo", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch["row"].take(pa.array(row)), pa.array(at), batch["full"].take(pa.array(row))], ["print", "row", "lo", "full"])
 
     return run
 
@@ -303,31 +318,31 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_rows: int = 20_000) -> DataFrame:
     """Cut every byte covered by a ``length``-byte string that also starts elsewhere (the same document included).
 
-    ``docs``: ``doc_id`` (names a text; rows repeating an id repeat its text) and ``text``; other columns are ignored. Returns ``doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, kept`` (the remaining bytes), one row per input row. Null and empty texts, and those shorter than ``length``, keep all. A null id is an id like others.
+    ``docs``: ``doc_id`` and ``text``; other columns are ignored. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes), one row per
+    input row. Every row is a text of its own, whatever its id: null and repeated ids are allowed, with equal texts or different ones, and a row that repeats another is
+    a repeat of its text. Null and empty texts, and those shorter than ``length``, keep all.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = partitions_for(docs, 2)
-    rows = docs.mapInArrow(_emit_segments(length, anchor), f"anchor long, print long, doc_id {id_type}, at long, kind byte")
-    found = materialize(rows.repartition(n, "anchor").sortWithinPartitions("anchor", "print").mapInArrow(_classify, f"doc_id {id_type}, at long, anchor long, todo byte, full boolean"))
-    packed = docs.mapInArrow(_squeeze, f"doc_id {id_type}, packed binary")
-    todo = found.filter(F.col("todo") == _COMPARE).groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "full")).alias("todo"))
-    todo = todo.withColumnRenamed("doc_id", "_id")
+    packed = materialize(docs.mapInArrow(_squeeze, f"row long, doc_id {id_type}, packed binary"))
+    rows = packed.select("row", "packed").mapInArrow(_emit_segments(length, anchor), "anchor long, print long, row long, at long, kind byte")
+    found = materialize(rows.repartition(n, "anchor").sortWithinPartitions("anchor", "print").mapInArrow(_classify, "row long, at long, anchor long, todo byte, full boolean"))
+    todo = found.filter(F.col("todo") == _COMPARE).groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "full")).alias("todo"))
     contexts = materialize(
-        packed.join(todo, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "packed", "todo").mapInArrow(_contexts(length), f"lead long, anchor long, doc_id {id_type}, at long, full boolean, context binary")
+        packed.select("row", "packed").join(todo, "row").mapInArrow(_contexts(length), "lead long, anchor long, row long, at long, full boolean, context binary")
     )
     hot = contexts.groupBy("anchor").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("anchor")
     usual = contexts.join(hot, "anchor", "left_anti").repartitionByRange(n, "lead", "anchor").sortWithinPartitions("lead", "anchor")
-    parts = usual.select("anchor", "doc_id", "at", "full", "context").mapInArrow(_compare(length, 4096), f"doc_id {id_type}, lo long, hi long")
-    windows = contexts.join(hot, "anchor", "left_semi").select("doc_id", "at", "full", "context").mapInArrow(_single_windows(length), f"print long, doc_id {id_type}, lo long, full boolean")
+    parts = usual.select("anchor", "row", "at", "full", "context").mapInArrow(_compare(length, 4096), "row long, lo long, hi long")
+    windows = contexts.join(hot, "anchor", "left_semi").select("row", "at", "full", "context").mapInArrow(_single_windows(length), "print long, row long, lo long, full boolean")
     twice = windows.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1").select("print")
-    single = windows.filter("not full").join(twice, "print", "left_semi").select("doc_id", "lo", F.col("lo").alias("hi"))
+    single = windows.filter("not full").join(twice, "print", "left_semi").select("row", "lo", F.col("lo").alias("hi"))
     parts = parts.unionByName(single)
     gone = (
-        found.filter(F.col("todo") == _FULL).select("doc_id", "at", F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("part"))
-        .unionByName(parts.select("doc_id", F.lit(None).cast("long").alias("at"), F.struct("lo", "hi").alias("part")))
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("whole"), F.collect_list("part").alias("parts"))
+        found.filter(F.col("todo") == _FULL).select("row", "at", F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("part"))
+        .unionByName(parts.select("row", F.lit(None).cast("long").alias("at"), F.struct("lo", "hi").alias("part")))
+        .groupBy("row").agg(F.collect_list("at").alias("whole"), F.collect_list("part").alias("parts"))
     )
-    cut = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "packed", "whole", "parts")
+    cut = packed.join(gone, "row", "left").select("doc_id", "packed", "whole", "parts")
     return cut.mapInArrow(_cut(length), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
