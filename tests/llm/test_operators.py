@@ -215,6 +215,17 @@ def test_classes_against_all_pairs(docs, rows, empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_links_are_counted_once_with_more_blocks_than_documents(spark):
+    texts = {}
+    for k in range(40):
+        words = [f"w{k}x{m}" for m in range(60)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join([*words, "more"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (20, 40, 70, 400_000):
+        got = jaccard_join.jaccard_classes(df, block_ngrams=block).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(i, i - i % 2, 1) for i in sorted(texts)], block
+
+
 @pytest.mark.parametrize("linked", [False, True])
 def test_shards(spark, docs, rows, empty, linked):
     links = spark.createDataFrame([(7, 8), (8, 9), (None, 3), (10_000, 2), (8, 7)], "a long, b long") if linked else None

@@ -85,8 +85,8 @@ def _sets(n: int):
     return run
 
 
-def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
-    """Matrix of the pairs of sets with at least the threshold, both ways; where ``side`` has both 0 and 1, only pairs of the one with the other."""
+def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of sets with at least the threshold, both ways; ``across``: only pairs of side 0 with side 1, of which either may be empty."""
     owner = np.repeat(np.arange(len(size)), size)
     _, gram, found = np.unique(grams, return_inverse=True, return_counts=True)
     shared = found[gram] > 1
@@ -95,7 +95,6 @@ def _links(size: np.ndarray, grams: np.ndarray, side: np.ndarray, threshold: flo
     n, wide = len(size), int(gram.max()) + 1 if len(gram) else 0
     order = np.argsort(gram, kind="stable")
     owner, gram = owner[order], gram[order]
-    across = bool(side.any())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(n), np.arange(n))
     both = np.zeros((len(left), len(right)), np.float32)
     step = max(1, (8 << 20) // max(1, n))
@@ -129,11 +128,12 @@ def _verify(threshold: float):
     names = ["id", "root", "links"]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
+        across = rows["i"][0].as_py() != rows["j"][0].as_py()
         cells = rows["grams"].combine_chunks()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in cells]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
-        linked = _links(size, np.concatenate(sets), side, threshold)
+        linked = _links(size, np.concatenate(sets), side, across, threshold)
         keep = np.flatnonzero(linked.any(axis=1))
         return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[_roots(linked)[keep]]), pa.array((linked @ copies)[keep])], names)
 
