@@ -1,8 +1,10 @@
 """Each stage keeps what it should; the whole gives one piece of each kept document's tokens."""
 
+import collections
+
 import corpus_pipeline
 
-from volspan.llm import decontaminate
+from volspan.llm import decontaminate, jaccard_join
 from volspan.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,18 @@ def test_stages_take_empty_and_odd_tables(spark):
             out = stage(spark, table, SF)
             assert name == "pack" or out.columns == table.columns
             out.count()
+
+
+def test_filters_go_by_row_not_by_id(spark):
+    prose = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d = (prose(x, 60) for x in "abcd")
+    rows = [(6, a), (6, a), (6, a), (None, b), (None, b), (None, b + " more"), (9, c), (None, c), (7, c), (8, d), (8, prose("e", 60)), (None, ""), (None, None), (5, " "), (None, prose("f", 60))]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    once = jaccard_join.keep_one(table)
+    assert once.columns == table.columns
+    got = collections.Counter((r["doc_id"], {b + " more": b}.get(r["text"], r["text"])) for r in once.collect())
+    assert got == collections.Counter([(6, a), (None, b), (7, c), *rows[9:]])
+    bench = spark.createDataFrame([(1, b), (2, d)], "item_id long, text string")
+    clean = decontaminate.remove_contaminated(table, bench)
+    assert clean.columns == table.columns
+    assert sorted(r["row"] for r in clean.collect()) == [0, 1, 2, 6, 7, 8, 10, 11, 12, 13, 14]

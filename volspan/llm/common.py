@@ -35,6 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns of a row) and ``row`` (a number of its own), written once so that the number stays with its row wherever it is read."""
+    return materialize(docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+
+
 def partitions_for(df: DataFrame, per_input: int = 1) -> int:
     """A partition count that follows the session's setting (which the cluster sizes to the data)."""
     return per_input * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8_view
+from .common import numbered, steps, utf8_view
 from .textscan import PrefixHash, spread
 from .words import ALPHANUMERIC, word_prints
 
@@ -168,9 +168,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that ``find_contamination`` flags; null ids are matched too."""
-    bad = find_contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without those that ``find_contamination`` flags; each row is judged by its own text, whatever its id."""
+    rows = numbered(docs)
+    bad = find_contamination(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def items_digest(items) -> object:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, steps
+from .common import materialize, numbered, partitions_for, steps
 from .components import components
 from .textscan import PrefixHash, mix, spread
 from .words import NOT_SPACE, word_prints
@@ -189,6 +189,13 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each class the one with the least id stays, all columns as they are; null ids stay."""
-    gone = jaccard_classes(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents without near copies: of each class exactly one row stays, one with the least id (null after all others), all columns as they are.
+
+    Rows are compared by their texts, each as a document of its own, so copies under a repeated or null id go too. Rows without words are copies of none and stay.
+    """
+    rows = numbered(docs)
+    classes = materialize(jaccard_classes(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options).filter("n_links > 0").select(F.col("doc_id").alias("row"), "class_id"))
+    ids = rows.select("row", F.col("doc.doc_id").alias("doc_id"))
+    first = classes.join(ids, "row").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    gone = classes.select("row").join(first, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
