@@ -2,7 +2,8 @@
 
 Base kinds are patterns (assignments to credential names, access keys, long lower-case hexadecimal runs). The method adds ``entropy`` spans: over each candidate string a
 window slides with incremental character counts, and where the Shannon entropy of its characters passes the bound of the string's character class, the window is part of a
-span. Allow-listed strings (plain words, numbers, identifiers in UUID form, addresses, placeholders) and spans that overlap a base span are suppressed.
+span. Allow-listed strings (plain words, numbers, identifiers in UUID form, placeholders) and whole forms (host names, e-mail addresses and URLs as far as they are made of
+words and numbers) are suppressed. Base spans are subtracted from entropy spans; a rest of ``LEAST_REST`` characters or more stays a finding.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ ALLOWED = re.compile(
     r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"  # UUIDs
     r"|.*(?:EXAMPLE|example|XXXX|xxxx|0000|1234567).*"  # placeholders
 )
+_WORDS = r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)"
+_HOST = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|[a-z]{2})(?![A-Za-z0-9_+=-]|\.[A-Za-z0-9])"
+#: Forms that are allowed as a whole: a URL's scheme and host, then its path (judged part by part below); e-mail addresses with a local part of words; host names. Neither the
+#: user nor the query of a URL is part of them. A host name outside a URL has at most 19 characters a label that mixes letters and digits.
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s/?#@]*@)?(?P<host>[A-Za-z0-9.-]+)(?P<port>:[0-9]+)?(?P<path>(?:/[^\s/?#\"'<>]*)*)")
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_.+/=:@%-])(?:{_WORDS}(?:[._+-]{_WORDS})*@)?{_HOST}|(?<=@){_HOST}")
+_PATH_WORDS = re.compile(rf"[-_=+]*{_WORDS}(?:[-_=+]+{_WORDS})*[-_=+]*")
+_LABEL = re.compile(r"[a-z0-9-]{20,}")
+LEAST_REST = 6
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _XLOGX = [0.0, *(c * math.log2(c) for c in range(1, 65))]
 
@@ -56,6 +66,68 @@ def entropy_spans(text: str, width: int, bound: float) -> list[tuple[int, int]]:
     return out
 
 
+def _allowed_forms(text: str) -> list[tuple[int, int]]:
+    """Parts of a text that whole allowed forms cover."""
+    out = []
+    for m in _URL.finditer(text):
+        out += [(m.start(), m.start("user") if m["user"] else m.start("host")), m.span("host")]
+        at = m.start("path")
+        for part in m["path"].split("/")[1:]:
+            words = CANDIDATE.findall(part)
+            if all(_PATH_WORDS.fullmatch(w) or ALLOWED.fullmatch(w) for w in words):
+                out.append((at, at + 1 + len(part)))
+            else:
+                out.append((at, at + 1))
+            at += 1 + len(part)
+    for m in _ADDRESS.finditer(text):
+        if all(ALLOWED.fullmatch(x) or _PATH_WORDS.fullmatch(x) for x in _LABEL.findall(m.group())):
+            out.append(m.span())
+    return out
+
+
+def _minus(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the cuts leave of a span."""
+    out = []
+    for s, e in sorted(x for x in cuts if x[0] < end and start < x[1]):
+        if start < s:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
+def _dense(word: str) -> list[tuple[int, int]]:
+    return entropy_spans(word, *BOUNDS["hex" if _HEX_ONLY.fullmatch(word) else "base64"])
+
+
+def _entropy_findings(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out, forms = [], None
+    for m in CANDIDATE.finditer(text):
+        if ALLOWED.fullmatch(m.group()) and not any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        if forms is None:
+            forms = _allowed_forms(text)
+        for start, end in _minus(*m.span(), forms):
+            dense = [(start + s, start + e) for s, e in _dense(text[start:end])]
+            for lo, hi in _minus(start, end, base):
+                part = text[lo:hi]
+                if ALLOWED.fullmatch(part):
+                    continue
+                spans = sorted([(max(s, lo), min(e, hi)) for s, e in dense if s < hi and lo < e] + [(lo + s, lo + e) for s, e in _dense(part)])
+                merged: list[tuple[int, int]] = []
+                for s, e in spans:
+                    if merged and s <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+                    else:
+                        merged.append((s, e))
+                for s, e in merged:
+                    # The character that joins a rest to a base span is none of the rest's.
+                    s += s == lo > start and text[s] in "/_=+-"
+                    e -= e == hi < end and text[e - 1] in "/_=+-"
+                    if e - s >= LEAST_REST:
+                        out.append((s, e))
+    return out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all findings in a text, in code points, by start and then kind."""
     found = []
@@ -66,15 +138,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for _, s, e in found)
-    for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if ALLOWED.fullmatch(word) or text[max(0, m.start() - 3) : m.start()].endswith(("://", "//", "@", ".")):
-            continue
-        width, bound = BOUNDS["hex" if _HEX_ONLY.fullmatch(word) else "base64"]
-        for s, e in entropy_spans(word, width, bound):
-            s, e = s + m.start(), e + m.start()
-            if not any(a < e and s < b for a, b in base):
-                found.append(("entropy", s, e))
+    found += [("entropy", s, e) for s, e in _entropy_findings(text, base)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
