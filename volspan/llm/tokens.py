@@ -2,7 +2,8 @@
 
 A text is cut where the pre-tokenizer cuts in any case: before a space that a visible character follows, before ``.`` or ``,`` after an ASCII letter or digit,
 and around a single newline between visible ASCII characters. The library encodes a chunk exactly as it encodes it inside its text, so the ids of a text are the
-joined ids of its chunks. A bounded table of chunks (by 64-bit fingerprint) spares most of the work; unseen chunks go to the library in joined blocks.
+joined ids of its chunks. A bounded table of chunks spares most of the work; unseen chunks go to the library in joined blocks. Chunks are found by fingerprint and then compared
+byte by byte; a step in which two chunks share a fingerprint goes to the library text by text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .textscan import PrefixHash, spread
+from .textscan import PrefixHash, same_slices, spread
 
 #: Distinct chunks that a worker remembers; beyond that it starts afresh.
 REMEMBERED = 1_500_000
@@ -49,6 +50,13 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.text_at = np.zeros(0, np.int64)
+        self.text_size = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
+
+    def _texts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text by itself."""
+        return self._library([data[s:e].tobytes().decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,7 +96,7 @@ class Encoder:
         spaced = (head == _SPACE) & (ends - starts > 1) & _VISIBLE_NEXT[second]
         plain = _VISIBLE[head] & _VISIBLE[tail] & ~spaced
         rest = ~spaced & ~plain
-        odd = self._library([data[s:e].tobytes().decode("utf-8") for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        odd = self._texts(data, starts[rest], ends[rest])
         parts = [
             (keys[spaced], *self._joined(data, starts[spaced], ends[spaced], False)),
             (keys[plain], *self._joined(data, starts[plain], ends[plain], True)),
@@ -97,9 +105,15 @@ class Encoder:
         size = np.concatenate([x[2] for x in parts])
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, *(x[1] for x in parts)])
+        groups = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(plain), np.flatnonzero(rest)])
+        wide = (ends - starts)[groups]
+        run, place = spread(wide)
+        text_at = len(self.text) + np.cumsum(wide) - wide
+        self.text = np.concatenate([self.text, data[starts[groups][run] + place]])
         keys, at, size = np.concatenate([self.keys, *(x[0] for x in parts)]), np.append(self.at, at), np.append(self.size, size)
+        text_at, text_size = np.append(self.text_at, text_at), np.append(self.text_size, wide)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        self.keys, self.at, self.size, self.text_at, self.text_size = keys[order], at[order], size[order], text_at[order], text_size[order]
 
     def _chunks(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(data) + 1, bool)
@@ -112,21 +126,34 @@ class Encoder:
         cut[off[:-1]] = True
         return np.flatnonzero(cut[: len(data)])
 
+    @staticmethod
+    def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return PrefixHash(data).of(starts, ends)
+
+    def _whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._texts(data, off[:-1], off[1:])
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets into them) of the texts in ``data``."""
         n = len(off) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if not self.chunked or len(data) < 3:
-            ids = self._library([data[s:e].tobytes().decode("utf-8") for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            return self._whole(data, off)
         starts = self._chunks(data, off)
         ends = np.append(starts[1:], len(data))
-        keys, first, which = np.unique(PrefixHash(data).of(starts, ends), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(self.prints(data, starts, ends), return_index=True, return_inverse=True)
+        wide = ends - starts
+        if not ((wide == wide[first][which]).all() and same_slices(data, starts, data, starts[first][which], wide)):
+            return self._whole(data, off)
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+            row, mine = place[known], first[known]
+            if not ((wide[mine] == self.text_size[row]).all() and same_slices(data, starts[mine], self.text, self.text_at[row], wide[mine])):
+                return self._whole(data, off)
         if len(self.keys) + len(keys) - known.sum() > REMEMBERED:
             self.forget()
             known[:] = False
