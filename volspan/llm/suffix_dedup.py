@@ -3,16 +3,16 @@
 Only the suffixes at anchors are sorted: an anchor is the least 64-byte fingerprint of a 200-byte window, so equal windows have equal anchors wherever
 they stand, and about one position in seventy is one. A segment is the run of windows that share an anchor.
 
-1. Segments with equal text (fingerprint of the whole segment) are repeats in all their windows. Repeats inside one step of a task are combined before the
+1. Segments with equal text (two independent fingerprints of the whole segment, 122 bits) are repeats in all their windows. Repeats inside one step of a task are combined before the
    shuffle; the rest are sorted by anchor in the shuffle and read as a stream, so a group of any size takes constant memory.
 2. Segments that share an anchor but not their text (an edit or the edge of a passage is near) are suffixes to compare: sampled splitters range-partition them by
    the leading bytes at the anchor, each bucket sorts its windows by multikey quicksort and keeps those that occur twice. All segments of an anchor lie in one bucket,
    and batches inside a bucket are joined up to a change of anchor, so no comparison ends at a boundary. Groups above ``hot_rows`` go to grouped counts of single windows,
-   which no task needs to see whole.
+   which no task needs to see whole; equal windows are found there by the same pair of fingerprints, so the result doesn't depend on ``hot_rows``.
 
 Each input row has a number of its own, written beside its compressed text before anything else, and segments, contexts and spans are joined on it; ids are only passed on.
 
-Fingerprints have 52 (anchors) or 64 bits (texts); an anchor's collision only adds comparisons. Buckets compare the bytes themselves.
+An anchor's mark has 52 bits and may collide, which only adds comparisons. Buckets compare the bytes themselves.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, materialize, partitions_for, steps, utf8_view
-from .textscan import PrefixHash, sliding_min, spread
+from .textscan import PrefixHash, rolling_marks, sliding_min, spread
 
 LENGTH, ANCHOR = 200, 64
 _LOW = np.uint64(0xFFF)
@@ -35,13 +35,12 @@ _FULL, _COMPARE = 0, 1
 
 
 def _segments(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> dict[str, np.ndarray] | None:
-    """Segments of the texts in ``data``: text number, start, number of windows, anchor's place after the start, anchor, fingerprint."""
+    """Segments of the texts in ``data``: text number, start, number of windows, anchor's place after the start, anchor, two fingerprints."""
     width = length - anchor + 1
     long = np.diff(off) >= length
     if not long.any():
         return None
-    hashes = PrefixHash(data)
-    at = hashes.windows(anchor)
+    at = rolling_marks(data, anchor)
     at &= ~_LOW
     at |= np.arange(len(at), dtype=np.uint64) & _LOW
     least = sliding_min(at, width)
@@ -61,7 +60,8 @@ def _segments(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> di
     text = np.searchsorted(off, start, side="right") - 1
     upto = np.minimum(upto, off[text + 1] - length + 1)
     place = ((least[start] & _LOW).astype(np.int64) - start) % 4096
-    return {"text": text, "start": start - off[text], "n": upto - start, "place": place, "anchor": (least[start] >> np.uint64(12)).view(np.int64), "print": hashes.of(start, upto + length - 1).view(np.int64)}
+    prints = [PrefixHash(data, k).of(start, upto + length - 1).view(np.int64) for k in (0, 1)]
+    return {"text": text, "start": start - off[text], "n": upto - start, "place": place, "anchor": (least[start] >> np.uint64(12)).view(np.int64), "print": prints[0], "print2": prints[1]}
 
 
 def _pack(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -75,23 +75,23 @@ def _emit_segments(length: int, anchor: int):
             if s is None:
                 continue
             where = _pack(s)
-            order = np.lexsort((s["print"], s["anchor"]))
-            a, p = s["anchor"][order], s["print"][order]
+            order = np.lexsort((s["print2"], s["print"], s["anchor"]))
+            a, p, q = s["anchor"][order], s["print"][order], s["print2"][order]
             new = np.empty(len(a), bool)
             new[0] = True
-            new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
             run_of = np.cumsum(new) - 1
             many = np.bincount(run_of)[run_of] > 1
             kind = np.where(new, many.astype(np.int8), np.int8(2))  # 0: alone here, 1: stands for repeats, 2: another of them, only passed on
             key = np.where(kind == 2, (where[order] * np.int64(0x9E3779B97F4A7C1)) >> np.int64(12), a)
             owner = part.column("row").take(pa.array(s["text"][order]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), owner, pa.array(where[order]), pa.array(kind)], ["anchor", "print", "row", "at", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), pa.array(q), owner, pa.array(where[order]), pa.array(kind)], ["anchor", "print", "print2", "row", "at", "kind"])
 
     return run
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor and fingerprint: whole repeats, and segments to compare. Holds one row between batches."""
+    """From rows sorted by anchor and fingerprints: whole repeats, and segments to compare. Holds one row between batches."""
     names = ["row", "at", "anchor", "todo", "full"]
 
     def out(b: pa.RecordBatch, rows: np.ndarray, todo: int, full: np.ndarray) -> pa.RecordBatch:
@@ -109,10 +109,10 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        a, p = batch["anchor"].to_numpy(), batch["print"].to_numpy()
+        a, p, q = (batch[c].to_numpy() for c in ("anchor", "print", "print2"))
         new = np.empty(len(a), bool)
         new[0] = True
-        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
         first = np.flatnonzero(new)
         run_of = np.cumsum(new) - 1
         full = (np.bincount(run_of) > 1) | (np.maximum.reduceat(batch["kind"].to_numpy(), first) == 1)
@@ -227,10 +227,10 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
     return row, place, off[:-1][row] + place, data
 
 
-def _window_prints(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of a batch of contexts: row, place in the row, fingerprint."""
+def _window_prints(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For all windows of a batch of contexts: row, place in the row, two fingerprints."""
     row, place, start, data = _windows(batch, length)
-    return row, place, PrefixHash(data).of(start, start + length)
+    return row, place, [PrefixHash(data, k).of(start, start + length).view(np.int64) for k in (0, 1)]
 
 
 def _runs(batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -284,7 +284,7 @@ def _single_windows(length: int):
                 batch = big.slice(lo, 4096)
                 row, place, prints = _window_prints(batch, length)
                 at = (batch["at"].to_numpy() >> 20)[row] + place
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch["row"].take(pa.array(row)), pa.array(at), batch["full"].take(pa.array(row))], ["print", "row", "lo", "full"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, prints), batch["row"].take(pa.array(row)), pa.array(at), batch["full"].take(pa.array(row))], ["print", "print2", "row", "lo", "full"])
 
     return run
 
@@ -320,14 +320,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     ``docs``: ``doc_id`` and ``text``; other columns are ignored. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes), one row per
     input row. Every row is a text of its own, whatever its id: null and repeated ids are allowed, with equal texts or different ones, and a row that repeats another is
-    a repeat of its text. Null and empty texts, and those shorter than ``length``, keep all.
+    a repeat of its text. Null and empty texts, and those shorter than ``length``, keep all. A window may hold at most 1,023 places for its anchor.
     """
+    if not 8 <= anchor <= length or length - anchor + 1 > 1023:
+        raise ValueError("the anchor must be shorter than the string, by 1,022 bytes at most")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = partitions_for(docs, 2)
     packed = materialize(docs.mapInArrow(_squeeze, f"row long, doc_id {id_type}, packed binary"))
-    rows = packed.select("row", "packed").mapInArrow(_emit_segments(length, anchor), "anchor long, print long, row long, at long, kind byte")
-    found = materialize(rows.repartition(n, "anchor").sortWithinPartitions("anchor", "print").mapInArrow(_classify, "row long, at long, anchor long, todo byte, full boolean"))
+    rows = packed.select("row", "packed").mapInArrow(_emit_segments(length, anchor), "anchor long, print long, print2 long, row long, at long, kind byte")
+    found = materialize(rows.repartition(n, "anchor").sortWithinPartitions("anchor", "print", "print2").mapInArrow(_classify, "row long, at long, anchor long, todo byte, full boolean"))
     todo = found.filter(F.col("todo") == _COMPARE).groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "full")).alias("todo"))
     contexts = materialize(
         packed.select("row", "packed").join(todo, "row").mapInArrow(_contexts(length), "lead long, anchor long, row long, at long, full boolean, context binary")
@@ -335,9 +337,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     hot = contexts.groupBy("anchor").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("anchor")
     usual = contexts.join(hot, "anchor", "left_anti").repartitionByRange(n, "lead", "anchor").sortWithinPartitions("lead", "anchor")
     parts = usual.select("anchor", "row", "at", "full", "context").mapInArrow(_compare(length, 4096), "row long, lo long, hi long")
-    windows = contexts.join(hot, "anchor", "left_semi").select("row", "at", "full", "context").mapInArrow(_single_windows(length), "print long, row long, lo long, full boolean")
-    twice = windows.groupBy("print").agg(F.count("*").alias("_n")).filter("_n > 1").select("print")
-    single = windows.filter("not full").join(twice, "print", "left_semi").select("row", "lo", F.col("lo").alias("hi"))
+    windows = contexts.join(hot, "anchor", "left_semi").select("row", "at", "full", "context").mapInArrow(_single_windows(length), "print long, print2 long, row long, lo long, full boolean")
+    twice = windows.groupBy("print", "print2").agg(F.count("*").alias("_n")).filter("_n > 1").select("print", "print2")
+    single = windows.filter("not full").join(twice, ["print", "print2"], "left_semi").select("row", "lo", F.col("lo").alias("hi"))
     parts = parts.unionByName(single)
     gone = (
         found.filter(F.col("todo") == _FULL).select("row", "at", F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("part"))
