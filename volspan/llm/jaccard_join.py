@@ -64,7 +64,7 @@ def _signatures(bands: int, rows: int, n: int):
             sums = mix(sums + (np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
             words = np.diff(upto)
             a = PrefixHash(prints).of(upto[:-1], upto[1:])
-            b = PrefixHash(prints * np.uint64(0xC2B2AE3D27D4EB4F) ^ prints >> np.uint64(31)).of(upto[:-1], upto[1:])
+            b = PrefixHash(word_prints(data, off, NOT_SPACE, 1)[0], 1).of(upto[:-1], upto[1:])
             size = np.zeros(len(count), np.int32)
             size[some] = bands
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.ascontiguousarray(sums.T).ravel().view(np.int64)))
