@@ -54,18 +54,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, n_turns, loss`` (places of the assistant's contents as start and length, in code points), ``attachments`` (turn, kind, ref,
     n_tokens in order) and ``n_attachment_tokens``.
 
-    ``turns``: ``conv_id, turn, role, text`` and optionally ``parts`` (typed content, after the text). Rows go by turn, then role, then content; repeated rows are repeated turns. Null
+    ``turns``: ``conv_id, turn, role, text`` and optionally ``parts`` (typed content, after the text, which is a text part itself; all parts go through ``visit``). Rows go by turn, then role, then content; repeated rows are repeated turns. Null
     texts and roles are empty, a null turn comes first, and a null conv_id is a conversation like others. The result's rows hold whole conversations, as a row per conversation
     must; nothing larger than one is gathered. An empty table gives an empty one.
     """
-    text = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    given = {"type": F.lit("text"), "text": F.coalesce("text", F.lit(""))}
+    fields = [f.split(":") for f in PART[len("struct<") : -1].split(",")]
+    parts = F.array(F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields]))
     if "parts" in turns.columns:
-        full = [f.split(":") for f in PART[7:-1].split(",")]
-        text = F.struct(*[text["text"].alias(n) if n == "text" else F.lit("text").alias(n) if n == "type" else F.lit(None).cast(t).alias(n) for n, t in full])
-        parts = F.concat(F.array(text), F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")))
-        content, attached = visit(parts)
-    else:
-        content, attached = escape(F.coalesce("text", F.lit(""))), F.array().cast("array<struct<kind:string,ref:string,n_tokens:bigint>>")
+        parts = F.concat(parts, F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")))
+    content, attached = visit(parts)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("_content"), attached.alias("_attached"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     rows = rows.withColumn("_head", F.length(head)).withColumn("_turn", F.concat(head, "_content", F.lit(END)))
