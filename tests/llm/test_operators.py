@@ -432,6 +432,29 @@ def test_entropy_takes_every_part_and_rest():
     assert not any(x[4:-4] in text for x in (head, body, sign, key))
 
 
+TOKENS = [
+    ("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c", [(4, 40), (41, 92), (93, 136)]),
+    ("Zq8Xv2Lp0000t4Wm7Kc1NdAb8", [(4, 29)]),
+    ("qzjxkvbwpgmfhydtcrlnsoeiua", [(4, 30)]),
+    ("QZJXKVBWPGMFHYDTCRLNSOEIUA", [(4, 30)]),
+    ("qZjXkVbWpGmFhYdTcRlNsOeIuAqJ", [(4, 32)]),
+    ("q7z2x9k4v1b8w3p6g5m0fh2y", [(4, 28)]),
+    ("9F86D081884C7D659A2FEAA0", [(4, 28)]),
+    ("aB3/xY7+kLm9Qw2eRt5Yu8Io0pZ", [(4, 31)]),
+    *[(x, []) for x in ("the-quick-brown-fox-jumps-over", "internationalizationalism", "getUserAuthenticationTokenFactory", "src/main/java/com/Example/Baz2019/Qux", "2019-01-01/12-22-33-44444", "abcdefghijklmnopqrstuvwxyz0123456789", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "Zq8Xv2Lp9Rt4Wm7Kc1N")],
+]
+
+
+def test_entropy_by_character_class(spark):
+    texts = [f"see {t} there" for t, _ in TOKENS] + [None, "", "calm words only", "a:b", "token = abcdef and more"]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for k, (token, spans) in enumerate(TOKENS):
+        assert [(f["start"], f["end"]) for f in got[k]["findings"] if f["kind"] == "entropy"] == spans, token
+    for k, t in enumerate(texts):
+        found = secrets.scan(t or "")
+        assert got[k]["spans"] == ",".join(f"{a}:{b}:{c}" for a, b, c in found) and got[k]["n_entropy"] == sum(f[0] == "entropy" for f in found)
+
+
 def test_redaction_replaces_findings(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -2,8 +2,11 @@
 
 Base kinds are patterns (assignments to credential names, access keys, long lower-case hexadecimal runs). The method adds ``entropy`` spans: over each candidate string a
 window slides with incremental character counts, and where the Shannon entropy of its characters passes the bound of the string's character class, the window is part of a
-span. Allow-listed strings (plain words, numbers, identifiers in UUID form, placeholders) and whole forms (host names, e-mail addresses and URLs as far as they are made of
-words and numbers) are suppressed. Base spans are subtracted from entropy spans; a rest of ``LEAST_REST`` characters or more stays a finding.
+span. Classes are digits, hexadecimal, letters of one case, letters of both cases, letters and digits of one case, of both cases, and strings with signs between. Allow-listed strings
+(words and numbers joined by signs, identifiers in UUID form, runs of the alphabet, documentation keys) and whole forms (host names, e-mail addresses and URLs as far as they are
+made of words and numbers) are suppressed. Base spans are subtracted from entropy spans; a rest of ``LEAST_REST`` characters or more stays a finding.
+
+Only texts that could hold a finding (a colon, an equals sign or 20 candidate characters in a row, tested in the JVM) go to Python.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the contract's base rules.
@@ -26,22 +29,33 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Window and bits per character for each character class.
-BOUNDS = {"hex": (20, 3.0), "base64": (20, 3.9)}
+BOUNDS = {"digits": (24, 2.8), "hex": (20, 3.0), "one case": (24, 3.6), "letters": (24, 3.85), "one case and digits": (20, 3.6), "letters and digits": (20, 3.7), "signs": (20, 3.9)}
+_CLASSES = (
+    ("digits", re.compile(r"[0-9]+")),
+    ("hex", re.compile(r"(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)")),
+    ("one case", re.compile(r"[a-z]+|[A-Z]+")),
+    ("letters", re.compile(r"[A-Za-z]+")),
+    ("one case and digits", re.compile(r"[a-z0-9]+|[A-Z0-9]+")),
+    ("letters and digits", re.compile(r"[A-Za-z0-9]+")),
+)
+#: A word of up to 19 letters (lower case, capitalised, capitals, or several capitalised words in one) with up to 4 digits, or a number.
+_WORDS = r"(?:(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[A-Z]?[a-z]{2,18}(?:[A-Z][a-z]{2,18})+)[0-9]{0,4}|[0-9]{1,19})"
 ALLOWED = re.compile(
-    r"[A-Za-z_/=+-]+|[0-9_/=+-]+"  # words and paths, numbers
+    rf"[-_/=+]*{_WORDS}(?:[-_/=+]+{_WORDS})*[-_/=+]*"
     r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"  # UUIDs
-    r"|.*(?:EXAMPLE|example|XXXX|xxxx|0000|1234567).*"  # placeholders
+    r"|[A-Za-z0-9+/_=-]*EXAMPLE(?:KEY)?"  # keys of documentation
 )
-_WORDS = r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)"
+_EXAMPLE = re.compile(r"EXAMPLE(?:KEY)?|example(?:key)?")
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_SEQUENCES = " ".join([_LETTERS * 3, _DIGITS * 8, (_DIGITS + _LETTERS) * 3, (_DIGITS + _LETTERS[:6]) * 5])
 _HOST = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|[a-z]{2})(?![A-Za-z0-9_+=-]|\.[A-Za-z0-9])"
 #: Forms that are allowed as a whole: a URL's scheme and host, then its path (judged part by part below); e-mail addresses with a local part of words; host names. Neither the
 #: user nor the query of a URL is part of them. A host name outside a URL has at most 19 characters a label that mixes letters and digits.
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s/?#@]*@)?(?P<host>[A-Za-z0-9.-]+)(?P<port>:[0-9]+)?(?P<path>(?:/[^\s/?#\"'<>]*)*)")
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9_.+/=:@%-])(?:{_WORDS}(?:[._+-]{_WORDS})*@)?{_HOST}|(?<=@){_HOST}")
-_PATH_WORDS = re.compile(rf"[-_=+]*{_WORDS}(?:[-_=+]+{_WORDS})*[-_=+]*")
 _LABEL = re.compile(r"[a-z0-9-]{20,}")
+_PIECE = re.compile(r"[A-Za-z0-9]{20,}")
 LEAST_REST = 6
-_HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _XLOGX = [0.0, *(c * math.log2(c) for c in range(1, 65))]
 
 
@@ -66,6 +80,10 @@ def entropy_spans(text: str, width: int, bound: float) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(word: str) -> bool:
+    return ALLOWED.fullmatch(word) is not None or word.lower() in _SEQUENCES
+
+
 def _allowed_forms(text: str) -> list[tuple[int, int]]:
     """Parts of a text that whole allowed forms cover."""
     out = []
@@ -74,15 +92,15 @@ def _allowed_forms(text: str) -> list[tuple[int, int]]:
         at = m.start("path")
         for part in m["path"].split("/")[1:]:
             words = CANDIDATE.findall(part)
-            if all(_PATH_WORDS.fullmatch(w) or ALLOWED.fullmatch(w) for w in words):
+            if all(map(allowed, words)):
                 out.append((at, at + 1 + len(part)))
             else:
                 out.append((at, at + 1))
             at += 1 + len(part)
     for m in _ADDRESS.finditer(text):
-        if all(ALLOWED.fullmatch(x) or _PATH_WORDS.fullmatch(x) for x in _LABEL.findall(m.group())):
+        if all(map(allowed, _LABEL.findall(m.group()))):
             out.append(m.span())
-    return out
+    return out + [m.span() for m in _EXAMPLE.finditer(text)]
 
 
 def _minus(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,13 +114,21 @@ def _minus(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def _dense(word: str) -> list[tuple[int, int]]:
-    return entropy_spans(word, *BOUNDS["hex" if _HEX_ONLY.fullmatch(word) else "base64"])
+    """Dense windows of a candidate: of each long piece without signs by its class, and of the whole where signs stand between letters of both cases and digits."""
+    out = []
+    for m in _PIECE.finditer(word):
+        if not allowed(m.group()):
+            name = next(name for name, pattern in _CLASSES if pattern.fullmatch(m.group()))
+            out += [(m.start() + s, m.start() + e) for s, e in entropy_spans(m.group(), *BOUNDS[name])]
+    if not word.isalnum() and any(c.isupper() for c in word) and any(c.islower() for c in word) and any(c.isdigit() for c in word):
+        out += entropy_spans(word, *BOUNDS["signs"])
+    return sorted(out)
 
 
 def _entropy_findings(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out, forms = [], None
     for m in CANDIDATE.finditer(text):
-        if ALLOWED.fullmatch(m.group()) and not any(a < m.end() and m.start() < b for a, b in base):
+        if allowed(m.group()) and not any(a < m.end() and m.start() < b for a, b in base):
             continue
         if forms is None:
             forms = _allowed_forms(text)
@@ -110,7 +136,7 @@ def _entropy_findings(text: str, base: list[tuple[int, int]]) -> list[tuple[int,
             dense = [(start + s, start + e) for s, e in _dense(text[start:end])]
             for lo, hi in _minus(start, end, base):
                 part = text[lo:hi]
-                if ALLOWED.fullmatch(part):
+                if allowed(part):
                     continue
                 spans = sorted([(max(s, lo), min(e, hi)) for s, e in dense if s < hi and lo < e] + [(lo + s, lo + e) for s, e in _dense(part)])
                 merged: list[tuple[int, int]] = []
@@ -146,16 +172,24 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
+_NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "findings"]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for lo in range(0, big.num_rows, 500):
             batch = big.slice(lo, 500)
-            found = [scan(t or "") for t in batch["text"].to_pylist()]
+            found = [scan(t) if t is not None else [] for t in batch["text"].to_pylist()]
             base = [[x for x in f if x[0] != "entropy"] for f in found]
             count = [pa.array([sum(x[0] == kind for x in f) for f in found], pa.int64()) for kind in KINDS]
             digest = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base])
             listed = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found], pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64()})))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *count, digest, pa.array([_joined(f) for f in found]), listed], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "findings"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *count, digest, pa.array([_joined(f) for f in found]), listed], _NAMES)
+
+
+def suspect(text: Column) -> Column:
+    """Whether a text could hold a finding: every finding has a colon, an equals sign or 20 candidate characters in a row. False for nulls."""
+    return F.coalesce(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | text.rlike(CANDIDATE.pattern.replace(",}", "}")), F.lit(False))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -163,7 +197,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none. Rows are independent, so null or repeated ids are kept; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.when(suspect(F.col("text")), F.col("text")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_scan, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string, findings array<struct<kind:string,start:bigint,end:bigint>>")
 
@@ -187,5 +221,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = pa.array([None if t is None else redact_text(t) for t in batch["text"].to_pylist()], pa.string())
                 yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
-    out = docs.mapInArrow(run, docs.schema)
+    could = suspect(F.col("text"))
+    out = docs.filter(~could).unionByName(docs.filter(could).mapInArrow(run, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
