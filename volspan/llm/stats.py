@@ -16,32 +16,71 @@ def _distinct_lost(array: Column) -> Column:
     return F.size(array) - F.size(F.array_distinct(array))
 
 
-def _covered(prints: Column) -> Column:
-    """Words in windows whose fingerprint occurs twice or more; ``prints`` is an array column of all windows' fingerprints in order."""
+#: Up to so many different repeated windows they are looked up one by one; beyond that all windows are sorted.
+_FEW = 32
+
+
+def _places(prints: Column) -> Column:
+    """Places of the elements that occur twice or more, in order, by sorting elements with their places."""
     pairs = F.sort_array(F.transform(prints, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     same_as_next = F.zip_with(pairs, F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), lambda a, b: F.coalesce(a["x"] == b["x"], F.lit(False)))
     same_as_last = F.concat(F.array(F.lit(False)), same_as_next)
     repeated = F.zip_with(same_as_next, same_as_last, lambda a, b: F.coalesce(a, F.lit(False)) | b)
-    places = F.filter(F.zip_with(pairs, repeated, lambda a, r: F.when(r, a["i"])), lambda x: x.isNotNull())
+    return F.sort_array(F.filter(F.zip_with(pairs, repeated, lambda a, r: F.when(r, a["i"])), lambda x: x.isNotNull()))
+
+
+def _repeated(prints: Column) -> Column:
+    """The different elements that occur twice or more."""
+    ordered = F.sort_array(prints)
+    return F.array_distinct(F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+
+
+def _covered(places: Column) -> Column:
+    """Words that the windows at these places cover together."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
-    return F.aggregate(F.sort_array(places), zero, lambda s, x: F.struct((s["n"] + x + WINDOW - F.greatest(x, s["upto"])).alias("n"), (x + WINDOW).alias("upto")), lambda s: s["n"])
+    return F.aggregate(places, zero, lambda s, x: F.struct((s["n"] + x + WINDOW - F.greatest(x, s["upto"])).alias("n"), (x + WINDOW).alias("upto")), lambda s: s["n"])
+
+
+def _beside(hashes: Column, step: int) -> Column:
+    """Hashes of each element with the one ``step`` places on; as many as there are such pairs."""
+    ahead = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
+    return F.zip_with(F.slice(hashes, 1, F.size(ahead)), ahead, lambda a, b: F.xxhash64(a, b))
+
+
+def spaced(text: Column) -> Column:
+    """The text with every white-space character as a space."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct`` (long) to rows with ``text``; null texts count as empty."""
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct`` (long) to rows with ``text``; null texts count as empty.
+
+    Words are hashed once; the hash of 2, 4 and 8 words is made of those of the halves, as long as enough of these occur again: a window of 8 words that does makes at least 8 words, 7
+    pairs and 5 fours do.
+    """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("_words", F.array_remove(F.split(text, SPACE + "+"), ""))
-    n = F.size("_words")
-    prints = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    docs = docs.withColumn("_prints", prints)
+    kept = docs.columns
+    docs = docs.withColumn("_split", F.split(spaced(text), " "))
+    docs = docs.withColumn("_words", F.transform(F.array_remove("_split", ""), lambda w: F.xxhash64(w))).withColumn("_spaces", F.size("_split") - 1).drop("_split")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NOT_SPACE))
+    docs = docs.withColumns({"_symbols": F.regexp_count(text, F.lit(SYMBOLS)), "_lines": F.when(F.contains(text, F.lit("\n")), _distinct_lost(lines)).otherwise(0), "_chars": F.length(text)})
+    none = F.array().cast("array<bigint>")
+    docs, step = docs.withColumn("_prints", F.col("_words")), 1
+    while step < WINDOW:
+        docs = docs.withColumn("_prints", F.when(_distinct_lost(F.col("_prints")) > WINDOW - step, _beside(F.col("_prints"), step)).otherwise(none))
+        step *= 2
+    docs = docs.withColumn("_again", F.when(_distinct_lost(F.col("_prints")) > 0, _repeated(F.col("_prints"))))
+    few = F.filter(F.transform("_prints", lambda x, i: F.when(F.array_contains("_again", x), i)), lambda x: x.isNotNull())
+    docs = docs.withColumn("_places", F.when(F.size("_again") <= _FEW, few).when(F.size("_again") > _FEW, _places(F.col("_prints"))))
     return docs.select(
-        *[c for c in docs.columns if not c.startswith("_")],
-        n.cast("long").alias("n_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        _distinct_lost(lines).cast("long").alias("n_dup_lines"),
-        F.when(_distinct_lost(F.col("_prints")) > 0, _covered(F.col("_prints"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        *[F.col("`" + c.replace("`", "``") + "`") for c in kept],
+        F.size("_words").cast("long").alias("n_words"),
+        (F.col("_chars") - F.col("_spaces")).cast("long").alias("word_chars"),
+        F.col("_symbols").cast("long").alias("n_symbols"),
+        F.col("_lines").cast("long").alias("n_dup_lines"),
+        F.coalesce(_covered(F.col("_places")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
 
