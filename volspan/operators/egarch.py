@@ -1,12 +1,14 @@
 """Asymmetric conditional variance (Nelson 1991) with Student-t errors.
 
 ln s2[t] = omega + alpha (|z[t-1]| - sqrt(2 / pi)) + gamma z[t-1] + beta ln s2[t-1], z = (return - mu) / s; the first row has the unconditional log variance omega / (1 - beta).
-The recursion runs along one series, so a series is a group; series run in parallel, and so do refits, which are fitted from the same start (not from the last refit's end).
+The recursion runs along one series, so a series is a group; series run in parallel. A series' first refit is fitted from its sample's moments, and the later ones, in parallel, from
+what the first one found.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -44,10 +46,10 @@ def negative_log_likelihood(returns: np.ndarray, p: np.ndarray) -> float:
     return float(-(constant - 0.5 * v - (nu + 1) / 2 * np.log1p(e2 / (nu - 2))).sum())
 
 
-def fit(returns: np.ndarray, most: int = 600) -> tuple[dict[str, float], float, bool]:
-    """Maximum likelihood (parameters, log likelihood, converged) from a fixed start with the sample's mean and variance."""
+def fit(returns: np.ndarray, most: int = 2_000, start: list[float] | None = None) -> tuple[dict[str, float], float, bool]:
+    """Maximum likelihood (parameters, log likelihood, converged), from given parameters or from the sample's mean and variance."""
     variance = max(float(returns.var()), 1e-8)
-    start = [float(returns.mean()), 0.05 * math.log(variance), 0.15, -0.05, 0.95, 8.0]
+    start = start or [float(returns.mean()), 0.05 * math.log(variance), 0.15, -0.05, 0.95, 8.0]
     best, value, done = minimize(lambda p: negative_log_likelihood(returns, p), start, 1e-4, 1e-5, most)
     return dict(zip(PARAMS, best.tolist(), strict=True)), -value, done
 
@@ -69,42 +71,57 @@ def one_step(filtered: DataFrame) -> DataFrame:
     return filtered.select("series_id", "dt", floored(F.col("sigma"), FORECAST_FLOOR).alias("forecast"))
 
 
-def fit_refits(training: DataFrame, most: int = 600) -> DataFrame:
+def fit_refits(training: DataFrame, most: int = 2_000) -> DataFrame:
     """Parameters per series and refit from ``training_rows`` with ``return``: ``n_train``, the six parameters, ``loglik, converged``."""
+    schema = "series_id string, refit_id int, n_train int, " + ", ".join(f"{p} double" for p in PARAMS) + ", loglik double, converged boolean"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rn")
-        found, value, done = fit(frame["return"].to_numpy(), most)
+        start = [float(frame[f"from_{p}"].iloc[0]) for p in PARAMS] if "from_mu" in frame else None
+        found, value, done = fit(frame["return"].to_numpy(), most, start)
         return pd.DataFrame([{"series_id": frame["series_id"].iloc[0], "refit_id": frame["refit_id"].iloc[0], "n_train": len(frame), **found, "loglik": value, "converged": done}])
 
-    schema = "series_id string, refit_id int, n_train int, " + ", ".join(f"{p} double" for p in PARAMS) + ", loglik double, converged boolean"
-    return training.select("series_id", "refit_id", "rn", "return").groupBy("series_id", "refit_id").applyInPandas(run, schema)
+    rows = training.select("series_id", "refit_id", "rn", "return")
+    least = rows.groupBy("series_id").agg(F.min("refit_id").alias("_first"))
+    rows = rows.join(least, "series_id")
+    first = rows.filter("refit_id = _first").drop("_first").groupBy("series_id", "refit_id").applyInPandas(run, schema).persist()
+    later = rows.filter("refit_id > _first").drop("_first").join(first.select("series_id", *[F.col(p).alias(f"from_{p}") for p in PARAMS]), "series_id")
+    return first.unionByName(later.groupBy("series_id", "refit_id").applyInPandas(run, schema))
 
 
-def filter_refits(training: DataFrame, params: DataFrame) -> DataFrame:
-    """In-sample ``sigma`` of every refit under its own parameters: ``series_id, refit_id, dt, rn, sigma``."""
+def fixed_refits(scheduled: DataFrame, params: dict[str, float] = FIXED) -> DataFrame:
+    """The same parameters at every refit, in the form of ``fit_refits``."""
+    return scheduled.filter("is_refit").select("series_id", "refit_id", F.col("rn").alias("n_train"), *[F.lit(float(v)).alias(p) for p, v in params.items()])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rn")
-        v = log_variances(frame["return"].tolist(), **{p: float(frame[p].iloc[0]) for p in PARAMS})[:-1]
-        return pd.DataFrame({"series_id": frame["series_id"], "refit_id": frame["refit_id"], "dt": frame["dt"], "rn": frame["rn"], "sigma": np.exp(np.array(v) / 2)})
 
-    rows = training.select("series_id", "refit_id", "dt", "rn", "return").join(params.select("series_id", "refit_id", *PARAMS), ["series_id", "refit_id"])
-    return rows.groupBy("series_id", "refit_id").applyInPandas(run, "series_id string, refit_id int, dt date, rn int, sigma double")
+def filter_refits(scheduled: DataFrame, params: DataFrame) -> DataFrame:
+    """``sigma`` under each refit's own parameters, of its history (``train``) and of the test rows up to the next refit: ``series_id, refit_id, dt, rn, sigma, train``.
 
+    A series is a group; its result has as many rows as its refits have history.
+    """
 
-def _paths(v: float, p: dict[str, float], horizon: int, paths: int, rng: np.random.Generator) -> float:
-    """Mean over the horizon of the root of the mean simulated variance."""
-    nu, out, log_v = p["nu"], [], np.full(paths, v)
-    for _ in range(horizon):
-        out.append(math.sqrt(float(np.exp(log_v).mean())))
-        z = rng.standard_t(nu, paths) * math.sqrt((nu - 2) / nu)
-        log_v = p["omega"] + p["alpha"] * (np.abs(z) - _MEAN_ABS) + p["gamma"] * z + p["beta"] * log_v
-    return float(np.mean(out))
+    def run(rows: pd.DataFrame, refits: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if not len(rows) or not len(refits):
+            return pd.DataFrame({k: [] for k in ("series_id", "refit_id", "dt", "rn", "sigma", "train")})
+        rows = rows.sort_values("rn")
+        returns = rows["return"].tolist()
+        for p in refits.sort_values("refit_id").to_dict("records"):
+            mine = (rows["refit_id"] == p["refit_id"]) & rows["usable"]
+            at = int(rows["rn"][mine].min())
+            end = int(rows["rn"][mine].max()) + 1
+            v = log_variances(returns[: end - 1], **{k: p[k] for k in PARAMS})
+            out.append(pd.DataFrame({"series_id": rows["series_id"][:end], "refit_id": p["refit_id"], "dt": rows["dt"][:end], "rn": rows["rn"][:end], "sigma": np.exp(np.array(v) / 2), "train": rows["rn"][:end] < at}))
+        return pd.concat(out)
+
+    rows = scheduled.select("series_id", "dt", "rn", "refit_id", "usable", "return").groupBy("series_id")
+    # Columns of their own: both sides may come from the same table.
+    given = params.select(*[(F.col(c) if c == "series_id" else F.col(c) + F.lit(0)).alias(c) for c in ("series_id", "refit_id", *PARAMS)]).groupBy("series_id")
+    return rows.cogroup(given).applyInPandas(run, "series_id string, refit_id int, dt date, rn int, sigma double, train boolean")
 
 
 def simulate(series: DataFrame, params: dict[str, float] = FIXED, horizon: int = 5, paths: int = 500, origin: str = "next", embargo: int = 5, seed: int = 42) -> DataFrame:
-    """``series_id, dt, forecast``: simulated mean volatility of ``horizon`` rows, seeded by series and date.
+    """``series_id, dt, forecast``: simulated mean volatility of ``horizon`` rows, from one set of random paths per series.
 
     ``origin="next"`` starts at the row after ``dt`` (the target's first row); ``"embargoed"`` starts ``embargo`` rows before ``dt``, as when the filter is cut with the training rows. A failed
     simulation falls back to the filter's last value.
@@ -118,15 +135,16 @@ def simulate(series: DataFrame, params: dict[str, float] = FIXED, horizon: int =
 def _simulator(params: dict[str, float], horizon: int, paths: int, back: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("dt")
-        v = log_variances(frame["return"].tolist(), **params)
-        out = []
-        for k, day in enumerate(frame["dt"]):
-            at = max(0, k - back)
-            rng = np.random.default_rng([seed, day.toordinal(), len(frame["series_id"].iloc[0])])
-            try:
-                out.append(_paths(v[at], params, horizon, paths, rng))
-            except (FloatingPointError, OverflowError, ValueError):
-                out.append(math.exp(v[at] / 2))
-        return pd.DataFrame({"series_id": frame["series_id"], "dt": frame["dt"], "forecast": np.maximum(out, FORECAST_FLOOR)})
+        v = np.array(log_variances(frame["return"].tolist(), **params))
+        at = np.maximum(0, np.arange(len(frame)) - back)
+        # The paths of a row are those of its log variance: v[t + h] = beta**h * v[t] + the shocks' sum, which is the same for all rows.
+        rng = np.random.default_rng([seed, zlib.crc32(frame["series_id"].iloc[0].encode())])
+        z = rng.standard_t(params["nu"], (horizon, paths)) * math.sqrt((params["nu"] - 2) / params["nu"])
+        shock, means = np.zeros(paths), []
+        for h in range(horizon):
+            means.append(params["beta"] ** h * v[at] / 2 + 0.5 * math.log(float(np.exp(shock).mean())))
+            shock = params["omega"] + params["alpha"] * (np.abs(z[h]) - _MEAN_ABS) + params["gamma"] * z[h] + params["beta"] * shock
+        mean = np.exp(np.array(means)).mean(axis=0)
+        return pd.DataFrame({"series_id": frame["series_id"], "dt": frame["dt"], "forecast": np.maximum(np.where(np.isfinite(mean), mean, np.exp(v[at] / 2)), FORECAST_FLOOR)})
 
     return run

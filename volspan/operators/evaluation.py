@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,11 +15,13 @@ from volspan.functions.volatility import dm_verdict, loss, stars
 LOSSES = ("mse", "mae", "qlike")
 
 
+def label_regimes(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Adds ``crisis``: the actual is above the series' ``threshold``; null for a series without one."""
+    return forecasts.join(thresholds, "series_id", "left").withColumn("crisis", F.col("actual") > F.col("threshold")).drop("threshold")
 
 
-def label_regimes(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Adds ``crisis``: the actual is above the series' ``threshold``."""
-    return forecasts.join(thresholds, "series_id").withColumn("crisis", F.col("actual") > F.col("threshold")).drop("threshold")
+def _subsample() -> Column:
+    return F.when(F.col("_all") == 1, "overall").when(F.col("crisis").isNull(), "unknown").when(F.col("crisis"), "crisis").otherwise("calm").alias("subsample")
 
 
 def losses_long(forecasts: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def metrics(forecasts: DataFrame) -> DataFrame:
     a, f = F.col("actual"), F.col("forecast")
     grouped = forecasts.groupingSets([["series_id", "model", "crisis"], ["series_id", "model"]], "series_id", "model", "crisis")
     out = grouped.agg(F.grouping("crisis").alias("_all"), F.count("*").alias("n"), F.sqrt(F.avg(loss("mse", a, f))).alias("rmse"), F.avg(loss("mae", a, f)).alias("mae"), F.avg(loss("qlike", a, f)).alias("qlike"))
-    return out.select("series_id", "model", F.when(F.col("_all") == 1, "overall").when(F.col("crisis"), "crisis").otherwise("calm").alias("subsample"), "n", "rmse", "mae", "qlike")
+    return out.select("series_id", "model", _subsample(), "n", "rmse", "mae", "qlike")
 
 
 def ranking(scored: DataFrame) -> DataFrame:
@@ -41,15 +43,22 @@ def ranking(scored: DataFrame) -> DataFrame:
     return scored.filter("subsample = 'overall'").drop("subsample").withColumn("rank_by_rmse", F.row_number().over(w.orderBy("rmse", "model"))).withColumn("rank_by_qlike", F.row_number().over(w.orderBy("qlike", "model")))
 
 
-def _pairs(forecasts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows with ``f1, f2`` for each pair (``first, second``) of models: aligned by series and date."""
-    pairs = F.broadcast(pairs)  # a declared list
-    left = forecasts.withColumnRenamed("model", "first").withColumnRenamed("forecast", "f1").join(pairs, "first")
-    right = forecasts.select("series_id", "dt", F.col("model").alias("second"), F.col("forecast").alias("f2"))
-    return left.join(right, ["series_id", "dt", "second"])
+def _pairs(forecasts: DataFrame, pairs: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Rows with ``f1, f2`` for each pair (``first, second``) of models: each series' row gathers its forecasts once, and the pairs are taken from them."""
+    listed = pairs if isinstance(pairs, list) else [(r[0], r[1]) for r in pairs.select("first", "second").collect()]  # a declared list
+    models = sorted({m for p in listed for m in p})
+    crisis = ["crisis"] if "crisis" in forecasts.columns else []
+    wide = forecasts.filter(F.col("model").isin(models)).groupBy("series_id", "dt", "actual", *crisis).pivot("model", models).agg(F.first("forecast"))
+    each = F.inline(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}`").alias("f1"), F.col(f"`{b}`").alias("f2")) for a, b in listed]))
+    return wide.select("series_id", "dt", "actual", *crisis, each).filter("f1 is not null and f2 is not null")
+
+
+def distinct_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pairs in order, each once."""
+    return list(dict.fromkeys(pairs))
 
 
-def dm_tests(forecasts: DataFrame, pairs: DataFrame, losses: tuple[str, ...] = LOSSES) -> DataFrame:
+def dm_tests(forecasts: DataFrame, pairs: DataFrame | list[tuple[str, str]], losses: tuple[str, ...] = LOSSES) -> DataFrame:
     """Diebold-Mariano tests per series, pair, loss and subsample: positive statistics favour the second; with ``p_value, stars, verdict``.
 
     Differences without variance give (0, 1). The small-sample factor is sqrt((n - 1 + 1/n) / n).
@@ -63,7 +72,7 @@ def dm_tests(forecasts: DataFrame, pairs: DataFrame, losses: tuple[str, ...] = L
     n = F.col("n").cast("double")
     stat = F.when(none, 0.0).otherwise(F.col("_m") / F.sqrt(F.when(none, 1.0).otherwise(F.col("_v")) / n) * F.sqrt((n - 1 + 1 / n) / n))
     out = out.withColumn("dm_stat", stat).withColumn("p_value", F.when(none, 1.0).otherwise(student_t_p(stat, F.col("n") - 1)))
-    return out.select(*key, F.when(F.col("_all") == 1, "overall").when(F.col("crisis"), "crisis").otherwise("calm").alias("subsample"), "n", "dm_stat", "p_value", stars(F.col("p_value")).alias("stars"), dm_verdict(F.col("dm_stat"), F.col("p_value")).alias("verdict"))
+    return out.select(*key, _subsample(), "n", "dm_stat", "p_value", stars(F.col("p_value")).alias("stars"), dm_verdict(F.col("dm_stat"), F.col("p_value")).alias("verdict"))
 
 
 def mincer_zarnowitz(rows: DataFrame, key: list[str], y: str = "actual", x: str = "forecast") -> DataFrame:
@@ -79,7 +88,7 @@ def mincer_zarnowitz(rows: DataFrame, key: list[str], y: str = "actual", x: str
     return out.withColumn("f_pval", F.when(enough, f_two_p(F.col("f_stat"), n - 2))).select(*key, "n", "alpha", "alpha_se", "beta", "beta_se", "r2", "f_stat", "f_pval")
 
 
-def encompassing(forecasts: DataFrame, pairs: DataFrame) -> DataFrame:
+def encompassing(forecasts: DataFrame, pairs: DataFrame | list[tuple[str, str]]) -> DataFrame:
     """Regression of the actual on two forecasts without an intercept: ``b1, t1, p1, b2, t2, p2`` with n - 2 degrees of freedom."""
     a, f1, f2 = F.col("actual"), F.col("f1"), F.col("f2")
     out = _pairs(forecasts, pairs).groupBy("series_id", "first", "second").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in (("_11", f1 * f1), ("_22", f2 * f2), ("_12", f1 * f2), ("_a1", a * f1), ("_a2", a * f2), ("_aa", a * a))])
@@ -100,8 +109,9 @@ def slope_difference(by_regime: DataFrame) -> DataFrame:
 
 def cumulative_difference(forecasts: DataFrame, base: str) -> DataFrame:
     """``csed``: running sum of the base model's squared errors less each other model's."""
-    rows = losses_long(forecasts)
-    other = rows.filter(F.col("model") != base).select("series_id", "dt", "model", "sq_err").join(rows.filter(F.col("model") == base).select("series_id", "dt", F.col("sq_err").alias("_base")), ["series_id", "dt"])
+    rows = losses_long(forecasts).select("series_id", "dt", "model", "sq_err")
+    rows = rows.withColumn("_base", F.max(F.when(F.col("model") == base, F.col("sq_err"))).over(W.partitionBy("series_id", "dt")))
+    other = rows.filter((F.col("model") != base) & F.col("_base").isNotNull())
     return other.select("series_id", "dt", "model", F.sum(F.col("_base") - F.col("sq_err")).over(W.partitionBy("series_id", "model").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)).alias("csed"))
 
 

@@ -106,12 +106,22 @@ def _solver(specs: list[Spec], columns: list[str]):
     return run
 
 
+_COEFFICIENTS = "series_id string, refit_id int, refit_date date, n_train int, model string, intercept double, coef array<double>, resid_var double, se array<double>, df int"
+
+
 def fit_models(scheduled: DataFrame, specs: list[Spec], embargo: int = 0) -> DataFrame:
     """A row per series, refit and model: ``intercept, coef, resid_var`` (of residuals, n - 1), ``se`` (intercept first) and ``df``. Models with too little history have no row."""
     columns = list(dict.fromkeys(c for s in specs for c in (s.target, *s.features)))
     moments = refit_moments(scheduled, columns, sorted({s.rolling for s in specs if s.rolling}), embargo)
-    schema = "series_id string, refit_id int, refit_date date, n_train int, model string, intercept double, coef array<double>, resid_var double, se array<double>, df int"
-    return moments.mapInPandas(_solver(specs, columns), schema)
+    return moments.mapInPandas(_solver(specs, columns), _COEFFICIENTS)
+
+
+def fit_groups(training: DataFrame, specs: list[Spec]) -> DataFrame:
+    """As ``fit_models``, from training rows that already belong to a refit (``series_id, refit_id``), for columns that differ by refit; moments by partial aggregates."""
+    columns = list(dict.fromkeys(c for s in specs for c in (s.target, *s.features)))
+    values = [F.col(c) for c in columns] + [F.col(columns[a]) * F.col(columns[b]) for a in range(len(columns)) for b in range(a + 1)]
+    moments = training.groupBy("series_id", "refit_id").agg(F.lit(None).cast("date").alias("refit_date"), F.array(*[F.lit(0.0)] * len(columns)).alias("shift"), F.count("*").alias("n"), F.array(*[F.sum(v) for v in values]).alias("sums"))
+    return moments.mapInPandas(_solver(specs, columns), _COEFFICIENTS)
 
 
 def predict(scheduled: DataFrame, coefs: DataFrame, specs: list[Spec], floor: bool = True) -> DataFrame:

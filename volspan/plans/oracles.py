@@ -8,7 +8,8 @@ from volspan.functions.volatility import GK_WEIGHT
 from volspan.operators.egarch import FIXED
 from volspan.operators.features import FEATURES, HAR, LOG_HAR
 from volspan.operators.walk_forward import SPECS, Spec
-from volspan.plans.queries import PLACES
+from volspan.operators.zoo import ENCOMPASSING_PAIRS
+from volspan.plans.queries import PLACES, REPORT_PAIRS, REPORTED
 
 ORACLES: dict[str, str] = {}
 W = "(PARTITION BY series_id ORDER BY dt)"
@@ -20,7 +21,7 @@ def _mean(x: str, first: int, last: int) -> str:
     return f"CASE WHEN count({x}) OVER {frame} = {last - first + 1} THEN avg({x}) OVER {frame} END"
 
 
-BARS = """trades AS (SELECT unnest(['ALL', l_returnflag]) AS series_id, CAST(l_shipdate AS DATE) AS dt, l_extendedprice / l_quantity AS px, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4 FROM lineitem WHERE l_quantity >= 1),
+BARS = """trades AS (SELECT unnest(['ALL', l_returnflag]) AS series_id, CAST(l_shipdate AS DATE) AS dt, l_extendedprice / l_quantity AS px, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4 FROM lineitem WHERE l_quantity > 0),
 bars AS (SELECT series_id, dt, arg_min(px, (k1, k2, k3, k4, px)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (k1, k2, k3, k4, px)) AS close FROM trades GROUP BY series_id, dt)"""
 VOL = f"""{BARS},
 gks AS (SELECT *, 0.5::DOUBLE * pow(ln(high / low), 2) - {GK_WEIGHT!r}::DOUBLE * pow(ln(close / open), 2) AS gk, ln(close / lag(close) OVER {W}) * 100 AS ret FROM bars),
@@ -149,10 +150,10 @@ def grid(line: str) -> str:
     """The grid search whose first forecast is ``line``."""
     return f"""{CORRECTED},
 {ols("m", SPECS[0], "ssched")},
-inputs AS (SELECT m.series_id, m.refit_id, m.dt, m.tr, m.te, s.rv, s.rv1_pctile AS p, greatest({line}, 1e-4::DOUBLE) AS a, greatest(fit, 1e-4::DOUBLE) AS b FROM m JOIN ssched s ON m.series_id = s.series_id AND m.dt = s.dt JOIN mz ON mz.series_id = m.series_id AND mz.refit_id = m.refit_id),
+inputs AS MATERIALIZED (SELECT m.series_id, m.refit_id, m.dt, m.tr, m.te, s.rv, s.rv1_pctile AS p, greatest({line}, 1e-4::DOUBLE) AS a, greatest(fit, 1e-4::DOUBLE) AS b FROM m JOIN ssched s ON m.series_id = s.series_id AND m.dt = s.dt JOIN mz ON mz.series_id = m.series_id AND mz.refit_id = m.refit_id),
 tries AS (SELECT series_id, refit_id, rv, i, k, 1 / (1 + exp(-k * (p - (0.1::DOUBLE + i * 0.05::DOUBLE)))) AS w, a, b FROM inputs, range(0, 17) AS ci(i), range(1, 21) AS ck(k) WHERE tr),
 losses AS (SELECT series_id, refit_id, i, k, round(avg(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2) - ln(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2)) - 1), 12) AS loss FROM tries GROUP BY 1, 2, 3, 4),
-best AS (SELECT series_id, refit_id, 0.1::DOUBLE + i * 0.05::DOUBLE AS c, CAST(k AS DOUBLE) AS k, loss AS train_qlike FROM (SELECT *, row_number() OVER (PARTITION BY series_id, refit_id ORDER BY loss, i, k) AS pos FROM losses) AS o WHERE pos = 1)"""
+best AS MATERIALIZED (SELECT series_id, refit_id, 0.1::DOUBLE + i * 0.05::DOUBLE AS c, CAST(k AS DOUBLE) AS k, loss AS train_qlike FROM (SELECT *, row_number() OVER (PARTITION BY series_id, refit_id ORDER BY loss, i, k) AS pos FROM losses) AS o WHERE pos = 1)"""
 
 
 def blend(line: str) -> str:
@@ -248,3 +249,33 @@ m0 AS (SELECT series_id, refit_id, CAST(count(*) AS INTEGER) AS n, avg(y) AS my,
 m1 AS (SELECT *, saa * sbb - sab * sab AS det FROM m0), m2 AS (SELECT *, (sbb * say - sab * sby) / det AS ba, (saa * sby - sab * say) / det AS bb FROM m1), m3 AS (SELECT *, (syy - ba * say - bb * sby) / (n - 3) AS s2, my - ba * ma - bb * mb AS b0 FROM m2),
 m4 AS (SELECT series_id, refit_id, n, 'const' AS feature, b0 AS coef, sqrt(s2 * (1.0::DOUBLE / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) AS se FROM m3 UNION ALL SELECT series_id, refit_id, n, 'rv1', ba, sqrt(s2 * sbb / det) FROM m3 UNION ALL SELECT series_id, refit_id, n, 'rv22', bb, sqrt(s2 * saa / det) FROM m3),
 m5 AS (SELECT *, coef / se AS t, n - 3 AS df, atan(abs(coef / se) / sqrt((n - 3)::DOUBLE)) AS th FROM m4)""", "series_id refit_id n_train feature ~coef ~se ~t ~p", f"SELECT *, n AS n_train, greatest({T_P}, 0) AS p FROM m5")
+
+
+# The reports over ten models under the fixed variance parameters.
+_lines = {"M2 EGARCH": "sigma", "M2b Corrected EGARCH": "alpha_pooled + beta_pooled * sigma", "M2c Regime-OLS": "CASE WHEN rv1_pctile >= 0.9 THEN alpha_crisis + beta_crisis * sigma ELSE alpha_calm + beta_calm * sigma END"}
+_parts = ",\n".join([*[ols(f"z{k}", s).replace(f"z{k} AS (", f"z{k} AS MATERIALIZED (") for k, s in enumerate(SPECS)], ols("zc", _combined, "ssched").replace("zc AS (", "zc AS MATERIALIZED (")])
+_all = " UNION ALL ".join([*[forecast(f"z{k}", s) for k, s in enumerate(SPECS)], forecast("zc", _combined), *[f"SELECT s.series_id, dt, '{n}' AS model, rv AS actual, greatest({x}, 1e-4::DOUBLE) AS forecast FROM ssched s JOIN mz ON s.series_id = mz.series_id AND s.refit_id = mz.refit_id WHERE usable" for n, x in _lines.items()]])
+TEN = f"{CORRECTED.replace('sched AS (', 'sched AS MATERIALIZED (', 1).replace('mz AS (', 'mz AS MATERIALIZED (')},\n{THRESHOLD},\n{_parts},\nfc AS MATERIALIZED (SELECT f.*, actual > threshold AS crisis FROM ({_all}) AS f JOIN thr ON f.series_id = thr.series_id)"
+_after = lambda text: text.split("fc AS (", 1)[1].split("\nmet AS", 1)[1]
+TEN_MET = f"{TEN},\nmet AS{_after(ZOO)}"
+TEN_RANKED = f"{TEN},\nmet AS{_after(RANKED)}"
+_pairs = lambda pairs: f"pairs AS (SELECT * FROM (VALUES {', '.join(f'({a!r}, {b!r})' for a, b in pairs)}) AS v(first, second)),\npair AS MATERIALIZED (SELECT b.series_id, p.first, p.second, b.dt, b.crisis, b.actual, b.forecast AS f1, o.forecast AS f2 FROM pairs p JOIN fc b ON b.model = p.first JOIN fc o ON o.model = p.second AND b.series_id = o.series_id AND b.dt = o.dt)"
+_dm = DM.split("diff AS", 1)[1]
+TEN_DM = f"{TEN_MET},\n{_pairs(REPORT_PAIRS)},\ndiff AS{_dm}"
+add("report_metrics", TEN_MET, "series_id model subsample n ~rmse ~mae ~qlike", "SELECT * FROM met")
+add("report_rankings", TEN_RANKED, "series_id model n ~rmse ~mae ~qlike rank_by_rmse rank_by_qlike", "SELECT * FROM ranked")
+add("report_top_forecasts", TEN_RANKED, "series_id dt model ~actual ~forecast rank_by_rmse", "SELECT f.*, rank_by_rmse FROM fc f JOIN ranked r ON f.series_id = r.series_id AND f.model = r.model WHERE rank_by_rmse <= 3")
+add("report_row_losses", TEN, "series_id dt model ~sq_err ~abs_err crisis", "SELECT *, pow(actual - forecast, 2) AS sq_err, abs(actual - forecast) AS abs_err FROM fc")
+add("report_csed", TEN_DM, "series_id dt model ~csed", f"SELECT series_id, dt, second AS model, sum(pow(actual - f1, 2) - pow(actual - f2, 2)) OVER (PARTITION BY series_id, second ORDER BY dt ROWS UNBOUNDED PRECEDING) AS csed FROM pair WHERE first = '{BASE}'")
+add("report_dm_tests", TEN_DM, "series_id first second loss subsample n ~dm_stat ~p_value stars verdict", "SELECT * FROM dms")
+add("report_dm_of_corrections", TEN_DM, "series_id comparison loss subsample n ~dm_stat ~p_value", "SELECT *, second || ' vs ' || first AS comparison FROM dms WHERE regexp_matches(second || ' vs ' || first, 'M2[bc]')")
+add("report_wins", TEN_DM, "series_id n_tests n_wins winners", f"SELECT series_id, count(*) AS n_tests, count(*) FILTER (WHERE dm_stat > 0 AND p_value < 0.05) AS n_wins, coalesce(string_agg(second, ', ' ORDER BY second) FILTER (WHERE dm_stat > 0 AND p_value < 0.05), '') AS winners FROM dms WHERE first = '{BASE}' AND loss = 'mse' AND subsample = 'overall' GROUP BY series_id")
+add("report_mz_tests", f"{TEN},\nxy AS (SELECT series_id, model, actual AS y, forecast AS x FROM fc),\n{MZ_TEST.format(key='series_id, model', rows='xy')}", "series_id model n ~alpha ~alpha_se ~beta ~beta_se ~r2 ~f_stat ~f_pval", "SELECT *, pow(1 + 2 * f_stat / (n - 2), -(n - 2) / 2.0::DOUBLE) AS f_pval FROM mt")
+_listed = " OR ".join(f"(first = {a!r} AND second = {b!r})" for a, b in ENCOMPASSING_PAIRS)
+add("report_encompassing", f"{TEN_RANKED},\n{_pairs(list(dict.fromkeys([*ENCOMPASSING_PAIRS, *[(m, 'M2 EGARCH') for m in REPORTED if m != 'M2 EGARCH']])))},\ne0 AS{ENC.split('e0 AS', 1)[1]}", "series_id first second n ~b1 ~t1 ~p1 ~b2 ~t2 ~p2 best encompasses", f"SELECT e.series_id, first, second, e.n, b1, t1, greatest(p1, 0) AS p1, b2, t2, greatest(p2, 0) AS p2, r.model AS best, p2 > 0.05 AS encompasses FROM e6 e JOIN ranked r ON e.series_id = r.series_id AND rank_by_rmse = 1 WHERE first = r.model OR {_listed}")
+add("report_test_crisis", f"{TEN},\nthr2 AS (SELECT series_id, quantile_cont(rv, 0.9) AS threshold FROM sched WHERE usable GROUP BY series_id),\nfc2 AS (SELECT f.* REPLACE (actual > t.threshold AS crisis) FROM fc f JOIN thr2 t ON f.series_id = t.series_id)", "series_id model subsample n ~rmse ~mae", "SELECT series_id, model, CASE WHEN crisis THEN 'crisis' ELSE 'calm' END AS subsample, count(*) AS n, sqrt(avg(pow(actual - forecast, 2))) AS rmse, avg(abs(actual - forecast)) AS mae FROM fc2 GROUP BY 1, 2, 3")
+add("report_crisis_bars", TEN_MET, "series_id model n ~qlike", f"SELECT * FROM met WHERE subsample = 'crisis' AND model IN ('{BASE}', 'M2 EGARCH', 'M2b Corrected EGARCH', 'M2c Regime-OLS', 'M3 Combined')")
+_keyed = lambda text: text.replace("PARTITION BY series_id", "PARTITION BY series_id, model").replace("SELECT series_id", "SELECT series_id, model").replace("SELECT a.series_id", "SELECT a.series_id, a.model").replace("a.series_id = b.series_id", "a.series_id = b.series_id AND a.model = b.model").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3").replace("SELECT z.series_id", "SELECT z.series_id, z.model").replace("a.series_id = z.series_id", "a.series_id = z.series_id AND a.model = z.model").replace("GROUP BY z.series_id", "GROUP BY z.series_id, z.model").replace("GROUP BY series_id", "GROUP BY series_id, model")
+add("report_residuals", f"{TEN},\nres AS MATERIALIZED (SELECT series_id, model, dt, actual - forecast AS resid, pow(actual - forecast, 2) AS resid2 FROM fc),\n{_keyed(autocorrelations('res', 'resid', 20, 'ac1'))},\n{_keyed(autocorrelations('res', 'resid2', 20, 'ac2'))},\n{_keyed(_lm())}", "series_id model n ~q ~p_q ~q_squared ~p_q_squared ~lm ~p_lm", f"SELECT a.series_id, a.model, a.n, a.q, {CHI('a.q', 20)} AS p_q, b.q AS q_squared, {CHI('b.q', 20)} AS p_q_squared, lm, {CHI('lm', 10)} AS p_lm FROM ({_keyed(_lb('ac1', 'resid'))}) AS a JOIN ({_keyed(_lb('ac2', 'resid2'))}) AS b ON a.series_id = b.series_id AND a.model = b.model JOIN (SELECT series_id, model, count(*) * (1 - sum(y * y) / sum(y0 * y0)) AS lm FROM l11 GROUP BY series_id, model) AS c ON a.series_id = c.series_id AND a.model = c.model")
+_ends = [f"{f}({c}) AS {n}_{c}" for c in ("n_train", "n_crisis", "n_calm", "alpha_crisis", "beta_crisis", "alpha_calm", "beta_calm") for n, f in (("least", "min"), ("most", "max"))]
+add("fixed_refit_ranges", CORRECTED, "series_id refits crisis_stable calm_stable " + " ".join(("~" if "a_c" in x else "") + x.split(" AS ")[1] for x in _ends), f"SELECT series_id, count(*) AS refits, bool_and(crisis_stable) AS crisis_stable, bool_and(calm_stable) AS calm_stable, {', '.join(_ends)} FROM mz GROUP BY series_id")

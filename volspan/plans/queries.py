@@ -14,6 +14,7 @@ from volspan.operators import evaluation as ev
 from volspan.operators import features as fe
 from volspan.operators import reports as rep
 from volspan.operators import walk_forward as wf
+from volspan.operators import zoo
 from volspan.sources import bars as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,8 +77,23 @@ def evaluated(spark: SparkSession, sf_dir: str, specs: list[wf.Spec] | None = No
     return ev.label_regimes(found, rep.crisis_threshold(rows, rows))
 
 
-def vs_base(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(M1.name, s.name) for s in wf.SPECS[1:]], "first string, second string")
+VS_BASE = [(M1.name, s.name) for s in wf.SPECS[1:]]
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of the linear models and, under the fixed variance parameters, of M2, M2b, M2c and M3, labelled by the training threshold."""
+    rows = with_sigma(spark, sf_dir)
+    lines = rows.filter("usable").join(cor.mz_coefficients(training(rows)), cor.KEY)
+    values = {zoo.RAW: F.col("sigma"), **{name: cor.corrected(F.col("sigma"), F.col("rv1_pctile"), kind) for name, kind in ((zoo.POOLED, "pooled"), (zoo.REGIME, "regime"))}}
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), cor.floored(v, cor.FORECAST_FLOOR).alias("forecast")) for name, v in values.items()]))
+    mine = lines.select("series_id", "dt", F.col("rv").alias("actual"), each).select("series_id", "dt", "model", "actual", "forecast")
+    specs = [*wf.SPECS, COMBINED]
+    found = wf.predict(rows, wf.fit_models(rows, specs), specs).unionByName(mine)
+    return ev.label_regimes(found, rep.crisis_threshold(rows, rows))
+
+
+REPORTED = [*[s.name for s in wf.SPECS], COMBINED.name, zoo.RAW, zoo.POOLED, zoo.REGIME]
+REPORT_PAIRS = ev.distinct_pairs([*[(M1.name, m) for m in REPORTED[1:]], (zoo.RAW, zoo.POOLED), (zoo.RAW, zoo.REGIME), (zoo.POOLED, zoo.REGIME), (M1.name, zoo.RAW)])
 
 
 # Sources, projections, windows
@@ -263,10 +279,15 @@ def egarch_fit(spark, d):
     return egarch.fit_refits(wf.training_rows(scheduled(spark, d), ["return"]))
 
 
+def fitted(spark, d):
+    """(scheduled features, variance parameters fitted at every refit)."""
+    rows = scheduled(spark, d)
+    return rows, egarch.fit_refits(wf.training_rows(rows, ["return"]))
+
+
 @query
 def egarch_refit_filter(spark, d):
-    rows = wf.training_rows(scheduled(spark, d), ["return"])
-    found = egarch.filter_refits(rows, egarch.fit_refits(rows))
+    found = egarch.filter_refits(*fitted(spark, d)).filter("train")
     return found.groupBy("series_id", "refit_id").agg(F.count("*").alias("n"), F.avg("sigma").alias("mean_sigma"), F.max_by("sigma", "rn").alias("last_sigma"))
 
 
@@ -395,7 +416,7 @@ def row_losses(spark, d):
 
 @query
 def dm_tests(spark, d):
-    return ev.dm_tests(evaluated(spark, d), vs_base(spark))
+    return ev.dm_tests(evaluated(spark, d), VS_BASE)
 
 
 @query
@@ -405,7 +426,7 @@ def mz_tests(spark, d):
 
 @query
 def encompassing(spark, d):
-    return ev.encompassing(evaluated(spark, d), vs_base(spark))
+    return ev.encompassing(evaluated(spark, d), VS_BASE)
 
 
 @query
@@ -471,10 +492,134 @@ def refit_audit(spark, d):
 
 @query
 def dm_tally(spark, d):
-    return rep.dm_tally(ev.dm_tests(evaluated(spark, d), vs_base(spark)))
+    return rep.dm_tally(ev.dm_tests(evaluated(spark, d), VS_BASE))
 
 
 @query
 def before_after(spark, d):
     rows = features(spark, d)
     return rep.before_after(wf.walk_forward(rows, [LOG_BEFORE]), wf.walk_forward(rows, [wf.SPECS[1]]))
+
+
+# All models on refitted variances, and the reports of the fixed ones
+
+
+@query
+def all_models(spark, d):
+    return zoo.all_models(*fitted(spark, d))
+
+
+@query
+def all_models_metrics(spark, d):
+    rows, params = fitted(spark, d)
+    return ev.metrics(ev.label_regimes(zoo.all_models(rows, params), rep.crisis_threshold(rows, rows)))
+
+
+@query
+def all_models_dm_tests(spark, d):
+    rows, params = fitted(spark, d)
+    return ev.dm_tests(ev.label_regimes(zoo.all_models(rows, params), rep.crisis_threshold(rows, rows)), ev.distinct_pairs([*VS_BASE, *zoo.CRISIS_PAIRS]))
+
+
+@query
+def all_models_refit_audit(spark, d):
+    return zoo.fit(*fitted(spark, d)).audit
+
+
+@query
+def all_models_slopes(spark, d):
+    audit = zoo.fit(*fitted(spark, d), blends=[]).audit
+    return zoo.slopes_fall(audit).join(zoo.audit_ranges(audit).drop("refits"), "series_id")
+
+
+@query
+def fixed_refit_ranges(spark, d):
+    return zoo.audit_ranges(cor.mz_coefficients(training(with_sigma(spark, d))))
+
+
+@query
+def report_metrics(spark, d):
+    return ev.metrics(reported(spark, d))
+
+
+@query
+def report_dm_tests(spark, d):
+    return ev.dm_tests(reported(spark, d), REPORT_PAIRS)
+
+
+@query
+def report_dm_of_corrections(spark, d):
+    """Tests whose comparison names a corrected variance (a null label never does)."""
+    named = F.concat_ws(" vs ", "second", "first")
+    tests = ev.dm_tests(reported(spark, d), REPORT_PAIRS).withColumn("comparison", named)
+    return tests.filter(F.coalesce(F.col("comparison").rlike("M2[bc]"), F.lit(False))).select("series_id", "comparison", "loss", "subsample", "n", "dm_stat", "p_value")
+
+
+@query
+def report_wins(spark, d):
+    """Models that beat the base significantly by squared errors, per series."""
+    tests = ev.dm_tests(reported(spark, d), REPORT_PAIRS).filter((F.col("first") == M1.name) & (F.col("loss") == "mse") & (F.col("subsample") == "overall"))
+    wins = (F.col("dm_stat") > 0) & (F.col("p_value") < 0.05)
+    return tests.groupBy("series_id").agg(F.count("*").alias("n_tests"), F.count_if(wins).alias("n_wins"), F.array_join(F.array_sort(F.collect_list(F.when(wins, F.col("second")))), ", ").alias("winners"))
+
+
+@query
+def report_mz_tests(spark, d):
+    return ev.mincer_zarnowitz(reported(spark, d), ["series_id", "model"])
+
+
+@query
+def report_encompassing(spark, d):
+    """The listed pairs and the best model by RMSE against the raw variance, each pair once."""
+    rows = reported(spark, d)
+    best = ev.ranking(ev.metrics(rows)).filter("rank_by_rmse = 1").select("series_id", F.col("model").alias("best"))
+    pairs = ev.distinct_pairs([*zoo.ENCOMPASSING_PAIRS, *[(m, zoo.RAW) for m in REPORTED if m != zoo.RAW]])
+    listed = F.concat_ws("|", "first", "second").isin(["|".join(p) for p in zoo.ENCOMPASSING_PAIRS])
+    return ev.encompassing(rows, pairs).join(best, "series_id").filter(listed | (F.col("first") == F.col("best"))).withColumn("encompasses", F.col("p2") > 0.05)
+
+
+@query
+def report_test_crisis(spark, d):
+    """Accuracy by the 0.9 quantile of the test rows' own actuals."""
+    rows = scheduled(spark, d)
+    found = reported(spark, d).drop("crisis")
+    return ev.metrics(ev.label_regimes(found, rep.crisis_threshold(rows, rows.filter("usable"), "test"))).filter("subsample <> 'overall'").select("series_id", "model", "subsample", "n", "rmse", "mae")
+
+
+@query
+def report_row_losses(spark, d):
+    return ev.losses_long(reported(spark, d)).select("series_id", "dt", "model", "sq_err", "abs_err", "crisis")
+
+
+@query
+def report_csed(spark, d):
+    return ev.cumulative_difference(reported(spark, d), M1.name)
+
+
+@query
+def report_rankings(spark, d):
+    return ev.ranking(ev.metrics(reported(spark, d)))
+
+
+@query
+def report_top_forecasts(spark, d):
+    rows = reported(spark, d)
+    return rep.top_forecasts(rows, ev.ranking(ev.metrics(rows))).select("series_id", "dt", "model", "actual", "forecast", "rank_by_rmse")
+
+
+@query
+def report_crisis_bars(spark, d):
+    return ev.metrics(reported(spark, d)).filter("subsample = 'crisis'").filter(F.col("model").isin(M1.name, zoo.RAW, zoo.POOLED, zoo.REGIME, COMBINED.name)).select("series_id", "model", "n", "qlike")
+
+
+@query
+def report_residuals(spark, d):
+    """Serial dependence of every model's finite residuals and of their squares, and remaining heteroscedasticity."""
+    from volspan.functions.volatility import finite
+
+    rows = reported(spark, d).withColumn("resid", F.col("actual") - F.col("forecast")).filter(finite(F.col("resid"))).withColumn("resid2", F.pow("resid", 2))
+    key = ["series_id", "model"]
+    plain, squared = (dia.ljung_box(dia.acf(rows, key, c, "dt", 20), key) for c in ("resid", "resid2"))
+    lm = dia.arch_lm(rows, key, "resid", "dt")
+    named = [plain.select(*key, "n", F.col("q").alias("q"), F.col("p_value").alias("p_q")), squared.select(*key, F.col("q").alias("q_squared"), F.col("p_value").alias("p_q_squared")), lm.select(*key, "lm", F.col("p_value").alias("p_lm"))]
+    return named[0].join(named[1], key).join(named[2], key)

@@ -50,7 +50,7 @@ def bars_from_trades(trades: DataFrame, series: Column, bucket: Column, price: C
 
 def lineitem_bars(lineitem: DataFrame) -> DataFrame:
     """Daily bars of unit prices, for all lines (``ALL``) and by return flag."""
-    lines = lineitem.filter("l_quantity >= 1").withColumn("series", F.explode(F.array(F.lit("ALL"), F.col("l_returnflag"))))
+    lines = lineitem.filter("l_quantity > 0").withColumn("series", F.explode(F.array(F.lit("ALL"), F.col("l_returnflag"))))
     return bars_from_trades(lines, F.col("series"), F.to_date("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
