@@ -57,7 +57,7 @@ def test_last_known_and_events(spark):
 
 
 def test_bars_take_first_and_last_by_order(spark):
-    rows = [("N", DAY, 10.0 * q, float(q), k, 1, 1, 1) for k, q in ((3, 1), (1, 2), (2, 4))] + [("A", DAY, 8.0, 0.5, 1, 1, 1, 1)]
+    rows = [("N", DAY, 10.0 * q, float(q), k, 1, 1, 1) for k, q in ((3, 1), (1, 2), (2, 4))] + [("A", DAY, 8.0, 0.0, 1, 1, 1, 1)]
     df = spark.createDataFrame(rows, "l_returnflag string, l_shipdate date, l_extendedprice double, l_quantity double, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
     df = df.withColumn("l_extendedprice", df["l_extendedprice"] + df["l_orderkey"])
     got = {r["series_id"]: r for r in src.lineitem_bars(df).collect()}
