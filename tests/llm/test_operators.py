@@ -184,37 +184,52 @@ def test_components(spark):
 
 
 def test_classes_against_all_pairs(docs, rows, empty):
-    got = {r["doc_id"]: r for r in jaccard_join.jaccard_classes(docs).collect() if r["doc_id"] is not None}
-    some = [(i, t) for i, t, *_ in rows if i is not None]
     grams = []
-    for _, t in some:
+    for _, t, *_ in rows:
         w = re.findall(WORD, (t or "").translate(LOW))
         n = min(5, len(w))
         grams.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set())
-    links, root = collections.Counter(), {i: i for i, _ in some}
+    links, root = collections.Counter(), list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(some)):
+    for a in range(len(rows)):
         for b in range(a):
             both = len(grams[a] & grams[b])
             if both and both >= 0.8 * len(grams[a] | grams[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = find(some[a][0]), find(some[b][0])
+                x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    for k, (i, _) in enumerate(some):
-        assert (got[i]["class_id"], got[i]["n_links"]) == (find(i), links[k]), i
-    small_blocks = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs, block_ngrams=300).collect()}
-    assert all(small_blocks[i] == (got[i]["class_id"], got[i]["n_links"]) for i in got)
-    few_rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs, block_rows=2).collect()}
-    assert all(few_rows[i] == (got[i]["class_id"], got[i]["n_links"]) for i in got)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    want = collections.Counter((i, i if not grams[k] else least.get(find(k)), links[k]) for k, (i, *_) in enumerate(rows))
+    for options in ({}, {"block_ngrams": 300}, {"block_rows": 2}, {"block_rows": 9}):
+        got = jaccard_join.jaccard_classes(docs, **options).collect()
+        assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want, options
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_a_chain_of_loosely_related_texts(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[8 * k : 8 * k + 100]) for k in range(100)]  # each is 0.85 like the next one at most
+    for k in range(0, 100, 10):
+        w = texts[k].split()
+        texts += [" ".join([*w[: r.randrange(30)], *w[r.randrange(31, 33) :]]) for _ in range(3)]
+    df = spark.createDataFrame([(f"id{k:03d}", t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    whole = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_classes(df).collect()}
+    assert [whole[f"id{k:03d}"][1] for k in range(len(texts))] == want
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_classes(df, block_rows=12).collect()} == whole
+
+
 def test_links_are_counted_once_with_more_blocks_than_documents(spark):
     texts = {}
     for k in range(40):

@@ -1,11 +1,12 @@
 """Operator 3: join of documents whose sets of word 5-grams have a Jaccard similarity of at least 0.8.
 
-1. Documents with equal word sequences are one class (128-bit fingerprint); only its representative goes on.
+1. Documents with equal word sequences are one class (two independent fingerprints, 122 bits); only its representative goes on, under a number of its own.
 2. MinHash bands, their number and rows chosen for a target recall at the threshold, are shuffled on their hashes; documents that share a band are candidates. A
-   bucket gives one edge per member (to its least member), and the connected groups of these edges are the candidate groups, so each set is shipped once, not once
-   per band or pair.
-3. All pairs in a candidate group are verified on the full n-gram sets. A large group is dealt into blocks of about ``block_ngrams`` n-grams and ``block_rows`` sets at most, and
-   one task takes each pair of blocks, so memory is bounded and no link is lost. Tasks return counts of links per document and a spanning forest of the links, never the pairs.
+   bucket gives one edge per member (to its least member), and connected documents form groups. While a group fits one task its sets are shipped once, not once per band.
+3. Pairs are verified on the full n-gram sets. A larger group is dealt either as a whole or by its buckets, whichever takes fewer comparisons: near copies of one text share most bands and
+   are best taken whole, while a chain of loosely related texts falls into small buckets. A pair that shares several buckets counts in the first. Either way groups are dealt into blocks of
+   about ``block_ngrams`` n-grams and ``block_rows`` sets at most, and one task takes each pair of blocks, so memory is bounded and no link is lost. Tasks return counts of links per
+   document and a spanning forest of the links, never the pairs.
 
 Words are runs of characters other than the space and \\x09-\\x0D, ASCII letters lower-cased; a text of one to four words has one n-gram, all its words.
 """
@@ -68,19 +69,25 @@ def _signatures(bands: int, rows: int, n: int):
             size = np.zeros(len(count), np.int32)
             size[some] = bands
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.ascontiguousarray(sums.T).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), listed], ["doc_id", "words", "pa", "pb", "bands"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(words.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), listed], ["doc_id", "key", "words", "pa", "pb", "bands"])
 
     return run
 
 
+_DEALT = ["group", "band", "i", "j", "side", "node", "copies", "bands"]
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in steps(batches, "text"):
             prints, upto = word_prints(data, off, NOT_SPACE)
+            second = word_prints(data, off, NOT_SPACE, 1)[0]
             grams, count = _ngrams(prints, upto, n)
+            # A key may stand for another text too; the representative is the one with its class's fingerprints.
+            mine = np.flatnonzero((PrefixHash(prints).of(upto[:-1], upto[1:]).view(np.int64) == part["pa"].to_numpy()) & (PrefixHash(second, 1).of(upto[:-1], upto[1:]).view(np.int64) == part["pb"].to_numpy()))
             ends = np.cumsum(count)
-            sets = [np.unique(grams[e - c : e]).tobytes() for c, e in zip(count.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in ("group", "i", "j", "side", "id", "copies")), pa.array(sets, pa.binary())], ["group", "i", "j", "side", "id", "copies", "grams"])
+            sets = [np.unique(grams[e - c : e]).tobytes() for c, e in zip(count[mine].tolist(), ends[mine].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(mine)) for c in _DEALT), pa.array(sets, pa.binary())], [*_DEALT, "grams"])
 
     return run
 
@@ -124,25 +131,37 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
+def _shared_before(bands: np.ndarray, band: int) -> np.ndarray:
+    """Pairs of rows that share one of the bands before ``band``."""
+    out = np.zeros((len(bands), len(bands)), bool)
+    for k in range(band):
+        out |= bands[:, k][:, None] == bands[:, k][None, :]
+    return out
+
+
 def _verify(threshold: float):
-    names = ["id", "root", "links"]
+    names = ["node", "root", "links"]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        across = rows["i"][0].as_py() != rows["j"][0].as_py()
-        cells = rows["grams"].combine_chunks()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in cells]
+        nodes = rows["node"].to_numpy()
+        keep = np.concatenate([[True], nodes[1:] != nodes[:-1]])  # a repeated row brings its text again
+        rows, nodes = rows.filter(pa.array(keep)), nodes[keep]
+        across, band = rows["i"][0].as_py() != rows["j"][0].as_py(), rows["band"][0].as_py()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["grams"].combine_chunks()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
+        copies, side = (rows[c].to_numpy() for c in ("copies", "side"))
         linked = _links(size, np.concatenate(sets), side, across, threshold)
+        if band > 0:
+            linked &= ~_shared_before(np.stack(rows["bands"].to_pylist()), band)
         keep = np.flatnonzero(linked.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[_roots(linked)[keep]]), pa.array((linked @ copies)[keep])], names)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[_roots(linked)[keep]]), pa.array((linked @ copies)[keep])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
-            key = np.stack([held[c].to_numpy() for c in ("group", "i", "j")])
+            key = np.stack([held[c].to_numpy() for c in ("group", "band", "i", "j")])
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             for lo, hi in zip([0, *cut.tolist()][:-1], cut.tolist(), strict=True):
                 if hi - lo > 1:
@@ -154,37 +173,58 @@ def _verify(threshold: float):
     return run
 
 
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of each (``group``, ``band``) dealt to its pairs of ``blocks``."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, ["group", "band"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("mine", "other", "blocks")
+
+
 def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_ngrams: int = 400_000, block_rows: int = 1024) -> DataFrame:
     """One row per document: ``doc_id, class_id, set_id, n_links``.
 
     ``class_id`` is the least id among the documents connected by links, ``set_id`` the least id of those with the same words, ``n_links`` the number of other documents
-    with a similarity of at least ``threshold`` (copies included). Texts without words (null, empty, blank) have no n-grams, hence no links, and are classes of their own. A null
-    id takes no part: its class and set are null, its links 0. ``doc_id`` names a text; a row repeated under its id counts as a copy.
+    with a similarity of at least ``threshold`` (copies included). Every row is a document of its own, whatever its id: null and repeated ids are allowed, with equal texts or different
+    ones; a null id is never the least of several, so a class of null ids alone has none. Texts without words (null, empty, blank) have no n-grams, hence no links, and are classes of
+    their own.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     bands, rows = choose_bands(threshold, recall)
     n = partitions_for(docs, 2)
-    marks = materialize(docs.mapInArrow(_signatures(bands, rows, ngram), "doc_id long, words long, pa long, pb long, bands array<long>"))
-    taking_part = marks.filter("doc_id is not null and words > 0")
-    classes = materialize(taking_part.groupBy("pa", "pb").agg(F.min(F.struct("doc_id", "bands", "words")).alias("r"), F.count("*").alias("copies")).select("pa", "pb", "copies", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands"), F.col("r.words").alias("words")))
-
-    banded = classes.select("id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    candidates = components(banded.join(buckets, "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    candidates = candidates.join(classes.select("id", "copies", "words"), "id")
-    total = candidates.groupBy("component").agg(F.ceil(F.greatest(F.sum("words") / block_ngrams, F.count("*") / block_rows)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = candidates.join(total, "component").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "copies", F.col("component").alias("group"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    texts = docs.join(dealt, docs["doc_id"] == dealt["id"]).select("group", "i", "j", "side", "id", "copies", "text")
-    sets = texts.mapInArrow(_sets(ngram), "group long, i int, j int, side int, id long, copies long, grams binary")
-    found = materialize(sets.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "id").mapInArrow(_verify(threshold), "id long, root long, links long"))
-
-    linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    near = found.groupBy("id").agg(F.sum("links").alias("links"))
-    least = classes.join(linked, "id", "left").join(near, "id", "left").select("pa", "pb", F.col("id").alias("set_id"), F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    member = F.col("doc_id").isNotNull() & (F.col("words") > 0)
-    out = marks.select("doc_id", "words", "pa", "pb").join(least.select(F.col("pa").alias("_a"), F.col("pb").alias("_b"), "set_id", "class_id", "n_links"), (F.col("pa") == F.col("_a")) & (F.col("pb") == F.col("_b")), "left")
+    marks = materialize(docs.mapInArrow(_signatures(bands, rows, ngram), f"doc_id {id_type}, key long, words long, pa long, pb long, bands array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "bands", "words")).alias("r")
+    classes = marks.filter("words > 0").groupBy("pa", "pb").agg(least, F.count("*").alias("copies"))
+    classes = materialize(classes.select("pa", "pb", "copies", F.col("r.doc_id").alias("id"), "r.key", "r.bands", "r.words", F.monotonically_increasing_id().alias("node")))
+
+    banded = classes.select("node", "words", F.posexplode("bands").alias("k", "band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    candidates = components(banded.join(buckets, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    candidates = materialize(candidates.withColumnRenamed("id", "node").join(classes.select("node", "words"), "node"))
+    blocks = F.ceil(F.greatest(F.sum("words") / block_ngrams, F.count("*") / block_rows)).cast("int").alias("blocks")
+    whole = candidates.groupBy("component").agg(blocks)
+    pairs = F.col("blocks") * (F.col("blocks") + 1) / 2
+    # Groups above one block: comparisons by their buckets, beside those of the whole.
+    inside = banded.join(buckets.select("band"), "band").join(candidates.join(whole.filter("blocks > 1"), "component").select("node", "component", F.col("blocks").alias("_whole")), "node")
+    shared = inside.groupBy("component", "_whole", F.col("band").alias("group"), F.col("k").alias("band")).agg(blocks, F.count("*").alias("_n")).filter("_n > 1")
+    apart = materialize(shared.groupBy("component", "_whole").agg(F.sum(pairs).alias("_apart")).filter(F.col("_apart") < F.col("_whole") * (F.col("_whole") + 1) / 2).select("component"))
+    whole = whole.join(apart, "component", "left_anti").select(F.col("component").alias("group"), F.lit(-1).alias("band"), "blocks")
+    together = _in_blocks(candidates.select("node", F.col("component").alias("group"), F.lit(-1).alias("band")), whole)
+    single = _in_blocks(inside.select("node", "component", F.col("band").alias("group"), F.col("k").alias("band")), shared.join(apart, "component", "left_semi").select("group", "band", "blocks")).drop("component")
+    dealt = together.unionByName(single).join(classes.select("node", "copies", "key", "pa", "pb", F.col("bands").alias("_bands")), "node").withColumn("bands", F.when(F.col("band") > 0, F.col("_bands"))).drop("_bands")
+    texts = docs.select("key", "text").join(dealt, "key").select(*_DEALT, "pa", "pb", "text")
+    sets = texts.mapInArrow(_sets(ngram), "group long, band int, i int, j int, side int, node long, copies long, bands array<long>, grams binary")
+    found = materialize(sets.repartition(n, "group", "band", "i", "j").sortWithinPartitions("group", "band", "i", "j", "node").mapInArrow(_verify(threshold), "node long, root long, links long"))
+
+    linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
+    near = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = linked.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id"))  # least of those that aren't null
+    linked = linked.join(named, "component").select("node", F.lit(True).alias("linked"), "class_id")
+    sized = classes.join(linked, "node", "left").join(near, "node", "left").select(
+        F.col("pa").alias("_a"), F.col("pb").alias("_b"), F.col("id").alias("set_id"), F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    member = F.col("words") > 0
+    out = marks.select("doc_id", "words", "pa", "pb").join(sized, (F.col("pa") == F.col("_a")) & (F.col("pb") == F.col("_b")), "left")
     return out.select("doc_id", F.when(member, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(member, F.col("set_id")).otherwise(F.col("doc_id")).alias("set_id"), F.when(member, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
