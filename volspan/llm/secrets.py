@@ -188,8 +188,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suspect(text: Column) -> Column:
-    """Whether a text could hold a finding: every finding has a colon, an equals sign or 20 candidate characters in a row. False for nulls."""
-    return F.coalesce(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | text.rlike(CANDIDATE.pattern.replace(",}", "}")), F.lit(False))
+    """Whether a text could hold a finding: every finding has a colon, an equals sign or 20 candidate characters in a row. False for nulls.
+
+    Such characters stand between spaces, so only long parts between them are matched.
+    """
+    long = F.exists(F.split(text, " "), lambda w: (F.octet_length(w) >= 20) & w.rlike(CANDIDATE.pattern.replace(",}", "}")))
+    return F.coalesce(F.contains(text, F.lit(":")) | F.contains(text, F.lit("=")) | long, F.lit(False))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
