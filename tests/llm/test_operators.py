@@ -147,6 +147,9 @@ def test_token_files(spark, docs, rows, ids, empty):
         start += r["n_tokens"]
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] is not None]
     assert order == sorted(order)
+    wanted = spark.createDataFrame([(7,), (70,), (7,), (12345,), (None,)], "doc_id long")
+    some = token_files.read_documents(manifest, folder, wanted).collect()
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in some) == sorted((x[0], np.array(ids[x[1]], "<u4").tobytes()) for x in rows if x[0] in (7, 70))
     none = token_files.new_folder(spark)
     assert token_files.read_token_files(token_files.write_token_files(empty, none, tokenizer()), none).count() == 0
 

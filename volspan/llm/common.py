@@ -20,17 +20,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh one only where none is configured."""
+    """The folder that driver and executors share. Only a local session may do without a configured one; it gets a fresh folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+_MARKED: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _MARKED.add(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """Write ``df`` to a table in the application's shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    path = f"{work_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, shared_dir, steps
+from .common import materialize, partitions_for, steps, work_dir
 from .packing import END_ID
 from .tokens import encoder
 
@@ -103,7 +103,9 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 tokens += b - a + 1
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()), pa.array([tokens], pa.int64())], ["part", "file", "n_docs", "n_tokens"])
+            known = [x for x in writer.ids if x is not None]
+            ends = (min(known), max(known)) if known else (None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), *(pa.array([x], pa.int64()) for x in (len(writer.ids), tokens, *ends))], ["part", "file", "n_docs", "n_tokens", "least_id", "greatest_id"])
 
     return run
 
@@ -111,11 +113,11 @@ def _write(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Encode whole texts, append ``end_id`` and write files in ascending doc_id order (null ids first, null texts as empty ones, repeated ids side by side).
 
-    ``folder`` is a URI that executors share. Returns the manifest ``part, file, n_docs, n_tokens``; files that a lost task left are not in it.
+    ``folder`` is a URI that executors share. Returns the manifest ``part, file, n_docs, n_tokens, least_id, greatest_id`` (of its ids that aren't null); files that a lost task left are not in it.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = docs.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, file string, n_docs long, n_tokens long"))
+    return materialize(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, file string, n_docs long, n_tokens long, least_id long, greatest_id long"))
 
 
 def _read(folder: str, step: int = 512):
@@ -146,5 +148,28 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def _read_some(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with fs.open_input_file(f"{root}/{row['file']}") as source:
+                    found = [(i, len(ids), ids.astype("<u4").tobytes()) for i, ids in FrameReader(source).documents(row["wanted"])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_tokens", "ids"])
+
+    return run
+
+
+def read_documents(manifest: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of the documents in ``wanted`` (``doc_id``): only files whose range of ids holds one are opened, and only their frames of these are fetched. Unknown and null
+    ids find nothing, repeated ones count once."""
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    held = (F.col("doc_id") >= F.col("least_id")) & (F.col("doc_id") <= F.col("greatest_id"))
+    files = ids.join(F.broadcast(manifest.select("file", "least_id", "greatest_id")), held).groupBy("file").agg(F.collect_list("doc_id").alias("wanted"))  # one row per file
+    return files.mapInArrow(_read_some(folder), "doc_id long, n_tokens long, ids binary")
+
+
 def new_folder(spark) -> str:
-    return f"{shared_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    """A folder of this application's own; give ``write_token_files`` another one for files that are to stay."""
+    return f"{work_dir(spark)}/token_files/{uuid.uuid4().hex}"
