@@ -88,24 +88,31 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 def shape_statistics(docs: DataFrame) -> DataFrame:
     """Adds statistics of the text's shape (double, never null) to rows with ``text``; null and empty texts have zeros. Names begin with ``s_``, and columns of these names are replaced."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_words", F.array_remove(F.split(text, SPACE + "+"), ""))
-    rows = rows.withColumn("_chars", F.length(text)).withColumn("_n", F.size("_words")).withColumn("_distinct", F.size(F.array_distinct("_words"))).withColumn("_lines", F.size(F.split(text, "\n")))
+    rows = docs.withColumn("_split", F.split(spaced(text), " "))
+    rows = rows.withColumns({"_words": F.transform(F.array_remove("_split", ""), lambda w: F.xxhash64(w)), "_spaces": F.size("_split") - 1}).drop("_split")
+    rows = rows.withColumn("_chars", F.length(text)).withColumn("_n", F.size("_words")).withColumn("_distinct", F.size(F.array_distinct("_words"))).withColumn("_lines", F.col("_chars") - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     chars, n = F.greatest("_chars", F.lit(1)), F.greatest("_n", F.lit(1))
-    plain = F.translate(text, "#*$%&|<>!", "")
+
+    def count(*signs: str) -> Column:
+        rest = text
+        for c in signs:
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        return F.col("_chars") - F.length(rest)
+
     next_same = F.size(F.filter(F.zip_with("_words", F.slice("_words", 2, F.greatest(F.col("_n") - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
     found = {
         "s_log_words": F.log1p("_n"),
-        "s_word_length": (F.col("_chars") - F.regexp_count(text, F.lit(SPACE))) / n,
-        "s_symbols": (F.col("_chars") - F.length(plain)) / chars,
-        "s_pipes": (F.col("_chars") - F.length(F.translate(text, "|", ""))) / n,
-        "s_shouts": (F.col("_chars") - F.length(F.translate(text, "!", ""))) / n,
+        "s_word_length": (F.col("_chars") - F.col("_spaces")) / n,
+        "s_symbols": F.regexp_count(text, F.lit("[#*$%&|<>!]")) / chars,
+        "s_pipes": count("|") / n,
+        "s_shouts": count("!") / n,
         "s_upper": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
-        "s_digits": (F.col("_chars") - F.length(F.translate(text, "0123456789", ""))) / chars,
-        "s_stops": (F.col("_chars") - F.length(F.translate(text, ".?", ""))) / n,
-        "s_commas": (F.col("_chars") - F.length(F.translate(text, ",", ""))) / n,
+        "s_digits": F.regexp_count(text, F.lit("[0-9]")) / chars,
+        "s_stops": count(".", "?") / n,
+        "s_commas": count(",") / n,
         "s_distinct": F.col("_distinct") / n,
         "s_variety": F.log1p("_distinct") / F.log1p(n),
         "s_next_same": next_same / n,
         "s_line_words": F.log1p(F.col("_n") / F.greatest("_lines", F.lit(1))),
     }
-    return rows.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in found.items()}).drop("_words", "_chars", "_n", "_distinct", "_lines")
+    return rows.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in found.items()}).drop("_words", "_spaces", "_chars", "_n", "_distinct", "_lines")
