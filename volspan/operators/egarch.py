@@ -103,7 +103,7 @@ def filter_refits(scheduled: DataFrame, params: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame, refits: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if not len(rows) or not len(refits):
-            return pd.DataFrame({k: [] for k in ("series_id", "refit_id", "dt", "rn", "sigma", "train")})
+            return pd.DataFrame({k: pd.Series(dtype=object) for k in ("series_id", "refit_id", "dt", "rn", "sigma", "train")})
         rows = rows.sort_values("rn")
         returns = rows["return"].tolist()
         for p in refits.sort_values("refit_id").to_dict("records"):

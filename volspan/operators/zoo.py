@@ -39,10 +39,12 @@ def fit(scheduled: DataFrame, params: DataFrame, blends: list[str] | None = None
     """Everything that a refit finds, under its own variance parameters (``egarch.fit_refits`` or ``fixed_refits``). ``blends`` chooses among ``BLENDS`` (all if None)."""
     blends = list(BLENDS) if blends is None else blends
     shown = scheduled.select("series_id", "dt", "rv", F.col("rv1_pctile").alias("p"), *HAR)
-    rows = egarch.filter_refits(scheduled, params).join(shown, ["series_id", "dt"])
+    params = params.persist()  # a row per refit; every step below reads it
+    rows = egarch.filter_refits(scheduled, params).join(shown, ["series_id", "dt"]).persist()
     training, test = rows.filter("train"), rows.filter("not train")
-    mz = cor.mz_coefficients(training)
+    mz = cor.mz_coefficients(training).persist()
     audit = mz.join(cor.qlike_coefficients(training, mz), cor.KEY).join(params.select(*cor.KEY, *[F.col(c).alias(f"eg_{c}") for c in egarch.PARAMS]), cor.KEY)
+    audit = audit.persist()
     linear = wf.fit_models(scheduled, wf.SPECS).unionByName(wf.fit_groups(training, [_COMBINED]))
     har = linear.filter(F.col("model") == BASE).select(*cor.KEY, F.col("intercept").alias("_a"), F.col("coef").alias("_b"))
 
@@ -57,7 +59,7 @@ def fit(scheduled: DataFrame, params: DataFrame, blends: list[str] | None = None
 
     training, test = with_lines(training), with_lines(test)
     if blends:
-        found = cor.grid_search(training, [BLENDS[b] for b in blends])
+        found = cor.grid_search(training, [BLENDS[b] for b in blends]).persist()
         audit, test = audit.join(found, cor.KEY), test.join(found, cor.KEY)
     return Fitted(training, test, audit.join(scheduled.filter("is_refit").select(*cor.KEY, F.col("dt").alias("refit_date")), cor.KEY), linear)
 
