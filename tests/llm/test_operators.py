@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -267,6 +268,46 @@ def test_shards(spark, docs, rows, empty, linked):
     assert sharding.shard_documents(empty, 6).count() == 0
 
 
+def test_cut_edges_against_a_direct_count(spark):
+    r = random.Random(12)
+    n, size = 480, 12
+    pairs = [(a, b) for c in range(0, n, size) for a in range(c, c + size) for b in range(a) if b >= c and r.random() < 0.4] + [(r.randrange(n), r.randrange(n)) for _ in range(60)]
+    order = r.sample(range(n), n)
+    df = spark.createDataFrame([(order[k], f"text number {k}") for k in range(n)], "doc_id long, text string").repartition(3)
+    links = spark.createDataFrame(pairs, "a long, b long")
+
+    def cut(rounds):
+        home = {x["doc_id"]: x["shard"] for x in sharding.shard_documents(df, 8, links, rounds=rounds).collect()}
+        assert set(collections.Counter(home.values()).values()) == {n // 8}
+        return sum(home[a] != home[b] for a, b in pairs if a != b)
+
+    before, after = cut(0), cut(12)
+    assert before > 0.75 * len(pairs) and after < 0.45 * len(pairs), (before, after, len(pairs))
+
+
+def test_scores_by_a_second_computation(spark):
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "One two! two? 3, #|\n\n\t x"), (-4, " \n ")], docs.schema))
+    model = rule_ensemble.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules
+    for x in rule_ensemble.quality_scores(docs, model).collect():
+        t = x["text"] or ""
+        w = re.findall(WORD, t)
+        n, chars, kinds = max(len(w), 1), max(len(t), 1), len(set(w))
+        count = lambda signs, t=t: sum(t.count(c) for c in signs)
+        found = {
+            "s_log_words": math.log1p(len(w)), "s_word_length": len(re.findall(r"[^\x20\x09-\x0D]", t)) / n, "s_symbols": count("#*$%&|<>!") / chars, "s_pipes": count("|") / n, "s_shouts": count("!") / n,
+            "s_upper": sum(unicodedata.category(c) == "Lu" for c in t) / chars, "s_digits": count("0123456789") / chars, "s_stops": count(".?") / n, "s_commas": count(",") / n, "s_distinct": kinds / n,
+            "s_variety": math.log1p(kinds) / math.log1p(n), "s_next_same": sum(a == b for a, b in zip(w, w[1:])) / n, "s_line_words": math.log1p(len(w) / (t.count("\n") + 1)),
+        }
+        total = model.intercept + sum(weight for rule, weight in model.rules if all((found[name] > bound) == above for name, above, bound in rule))
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), x["doc_id"]
+        assert x["predicted"] == int(x["score"] >= 0.3)
+
+
 def test_shards_of_copies_only(spark):
     df = spark.createDataFrame([(k, f"text {k % 40}") for k in range(480)], "doc_id long, text string")
     got = sharding.shard_documents(df, 24).collect()

@@ -1,15 +1,41 @@
 """Each stage keeps what it should; the whole gives one piece of each kept document's tokens."""
 
 import collections
+import re
 
 import corpus_pipeline
 
-from volspan.llm import decontaminate, jaccard_join
+from volspan.llm import decontaminate, jaccard_join, secrets
 from volspan.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
 
 
+def one_of_each(docs):
+    """The least id of every class of texts linked by a Jaccard similarity of 0.8 of word 5-grams, by all pairs."""
+    sets = []
+    for _, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        n = min(5, len(w))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return list(least.values())
+
+
 def test_stages(spark, tmp_path):
     docs = read_table(spark, SF, "documents")
     columns = docs.columns
@@ -23,6 +49,12 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
             kept = {r["doc_id"] for r in docs.collect()}
             assert kept <= {r["doc_id"] for r in before.collect()}
+        if name == "near_duplicates":
+            assert collections.Counter(r["doc_id"] for r in docs.collect()) == collections.Counter(one_of_each([(r["doc_id"], r["text"]) for r in before.collect()]))
+        if name == "secrets":
+            old, new = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (before, docs))
+            assert {i: secrets.redact_text(t) for i, t in old.items() if t is not None} == {i: t for i, t in new.items() if t is not None}
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect() if r["text"] is not None)
         if name == "decontaminate":
             items = [(r["item_id"], r["text"]) for r in read_table(spark, SF, "benchmark").collect()]
             expected = decontaminate.brute_force([(r["doc_id"], r["text"]) for r in before.collect()], items)

@@ -132,12 +132,13 @@ def _table(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (gapless from 0 in each sequence) to pieces with ``doc_id, piece, length`` (1 to ``capacity``).
 
-    ``pieces`` should be a written table: it is read twice. Equal lengths are interchangeable; ties go by doc_id and piece. An empty table gives an empty one.
+    ``pieces`` should be a written table: it is read twice. Equal lengths are interchangeable; ties go by doc_id and piece, then by ``_row`` where there is one (a number of each row, which
+    spreads repeated ids over tasks and isn't returned). An empty table gives an empty one.
     """
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     table = _table(plan(counts, capacity))
-    columns = pieces.columns
-    ranked = two_level_rank(pieces, ["length"], ["doc_id", "piece"], "_rank")
+    columns = [c for c in pieces.columns if c != "_row"]
+    ranked = two_level_rank(pieces, ["length"], ["doc_id", "piece", *(c for c in pieces.columns if c == "_row")], "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +147,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             past = rank - (row[:, 0] & (1 << 40) - 1)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(row[:, 1] + past // row[:, 2]), pa.array(row[:, 3] + past % row[:, 2] * length)], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row")
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id)), capacity)
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id).withColumn("_row", F.monotonically_increasing_id())), capacity)

@@ -131,7 +131,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, **options) -> RuleModel:
     """``docs``: ``doc_id, text``; ``labels``: ``doc_id, quality``. At most ``most_rows`` labelled ids outside the held-out fifth are learned from; rows with a null are ignored, and of
-    several labels of an id the highest counts."""
+    several labels of an id the highest counts. Of documents whose ids repeat at most ``2 * most_rows`` rows are taken, in order of id and statistics."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = shape_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # bounded by most_rows

@@ -42,12 +42,13 @@ def admit(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int,
 def propagate(pieces: DataFrame, edges: DataFrame | None, capacity: list[int], rounds: int) -> DataFrame:
     """``pieces``: ``v, shard, n`` of linked vertices; ``edges``: ``v, u`` both ways, or None. Returns the pieces after at most ``rounds`` rounds; sums by shard stay within capacity."""
     k, least = len(capacity), max(1, min(capacity))
-    for _ in range(rounds):
+    for k_round in range(rounds):
         votes = pieces
         if edges is not None:
             votes = votes.unionByName(edges.join(pieces.withColumnRenamed("v", "u"), "u").select("v", "shard", "n"))
         votes = votes.groupBy("v", "shard").agg(F.sum("n").alias("votes"))
-        best = F.reverse(F.array_sort(F.collect_list(F.struct("votes", F.xxhash64("v", "shard").alias("tie"), "shard"))))  # at most one entry per shard
+        # Equal votes go by an order of the shards that changes with the round: two neighbours agree on one of their shards instead of swapping or staying apart.
+        best = F.reverse(F.array_sort(F.collect_list(F.struct("votes", F.xxhash64(F.lit(k_round), "shard").alias("tie"), "shard"))))  # at most one entry per shard
         size = pieces.groupBy("v").agg(F.sum("n").alias("size"))
         homes = votes.groupBy("v").agg(best.alias("best")).join(size, "v").select("v", F.slice("best", 1, F.ceil(F.col("size") / least).cast("int")).alias("homes"))
         stays = F.exists("homes", lambda h: h["shard"] == F.col("shard"))
@@ -75,11 +76,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
 
     ``docs``: ``doc_id, text``; equal texts are linked, and ``links`` (``a, b``: doc_ids) may link more. Returns one row per document: ``doc_id, size`` (UTF-8 bytes plus 8),
     ``text_crc32, law`` (``rows``), ``shard, slot`` (gapless from 0 in the shard) and ``grown_shard`` (null under this law). Null texts count as empty. Null and repeated ids are rows
-    like others; links of unknown or null ids are ignored. An empty table gives an empty one.
+    like others; links of unknown or null ids are ignored. Ties: votes go by an order of the shards of each round, places by doc_id, then the text's hashes, then the row. An empty table gives an empty one.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.md5(text)).alias("v"))
-    rows = materialize(two_level_rank(rows, [], ["doc_id", "text_crc32", "v"], "_rank").withColumn("shard", F.pmod("_rank", F.lit(n_shards)).cast("int")).drop("_rank"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.md5(text)).alias("v"), F.monotonically_increasing_id().alias("_row"))
+    order = ["doc_id", "text_crc32", "v", "_row"]  # the row's number spreads repeated ids over tasks
+    rows = materialize(two_level_rank(materialize(rows), [], order, "_rank").withColumn("shard", F.pmod("_rank", F.lit(n_shards)).cast("int")).drop("_rank"))
     capacity = [0] * n_shards
     for r in rows.groupBy("shard").count().collect():  # one row per shard
         capacity[r[0]] = r[1]
@@ -109,6 +111,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
 
     dealt = rows.drop("shard").join(parts, "v", "left")
     dealt = dealt.withColumn("parts", F.coalesce("parts", free)).withColumn("own", F.when(F.col("parts") != free, F.col("v")))
-    ranked = two_level_rank(dealt.withColumn("own", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["own"], ["doc_id", "text_crc32", "v"], "_rank")
+    ranked = two_level_rank(dealt.withColumn("own", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["own"], order, "_rank")
     part = F.element_at(F.filter("parts", lambda p: p["first"] <= F.col("_rank")), -1)
     return ranked.withColumn("_p", part).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_p.shard").alias("shard"), (F.col("_p.slot") + F.col("_rank") - F.col("_p.first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
