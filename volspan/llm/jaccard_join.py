@@ -180,7 +180,7 @@ def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}).drop("mine", "other", "blocks")
 
 
-def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_ngrams: int = 400_000, block_rows: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_ngrams: int = 400_000, block_rows: int = 512) -> DataFrame:
     """One row per document: ``doc_id, class_id, set_id, n_links``.
 
     ``class_id`` is the least id among the documents connected by links, ``set_id`` the least id of those with the same words, ``n_links`` the number of other documents
