@@ -202,12 +202,11 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     candidates = components(banded.join(buckets, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     candidates = materialize(candidates.withColumnRenamed("id", "node").join(classes.select("node", "words"), "node"))
     blocks = F.ceil(F.greatest(F.sum("words") / block_ngrams, F.count("*") / block_rows)).cast("int").alias("blocks")
-    whole = candidates.groupBy("component").agg(blocks)
-    pairs = F.col("blocks") * (F.col("blocks") + 1) / 2
+    whole = candidates.groupBy("component").agg(blocks, F.count("*").cast("double").alias("_n"))
     # Groups above one block: comparisons by their buckets, beside those of the whole.
-    inside = banded.join(buckets.select("band"), "band").join(candidates.join(whole.filter("blocks > 1"), "component").select("node", "component", F.col("blocks").alias("_whole")), "node")
-    shared = inside.groupBy("component", "_whole", F.col("band").alias("group"), F.col("k").alias("band")).agg(blocks, F.count("*").alias("_n")).filter("_n > 1")
-    apart = materialize(shared.groupBy("component", "_whole").agg(F.sum(pairs).alias("_apart")).filter(F.col("_apart") < F.col("_whole") * (F.col("_whole") + 1) / 2).select("component"))
+    inside = banded.join(buckets.select("band"), "band").join(candidates.join(whole.filter("blocks > 1"), "component").select("node", "component", (F.col("_n") * F.col("_n")).alias("_whole")), "node")
+    shared = inside.groupBy("component", "_whole", F.col("band").alias("group"), F.col("k").alias("band")).agg(blocks, F.count("*").cast("double").alias("_n")).filter("_n > 1")
+    apart = materialize(shared.groupBy("component", "_whole").agg(F.sum(F.col("_n") * F.col("_n")).alias("_apart")).filter("_apart < _whole").select("component"))
     whole = whole.join(apart, "component", "left_anti").select(F.col("component").alias("group"), F.lit(-1).alias("band"), "blocks")
     together = _in_blocks(candidates.select("node", F.col("component").alias("group"), F.lit(-1).alias("band")), whole)
     single = _in_blocks(inside.select("node", "component", F.col("band").alias("group"), F.col("k").alias("band")), shared.join(apart, "component", "left_semi").select("group", "band", "blocks")).drop("component")
