@@ -93,6 +93,17 @@ def test_every_model_equals_direct_computation(spark, table, scheduled):
     assert ranges["crisis_stable"] == all(r["crisis_stable"] for r in audit)
 
 
+def test_report_holds_every_model(scheduled):
+    found = zoo.all_models(scheduled, egarch.fixed_refits(scheduled, PARAMS)).persist()
+    n_models, n_rows = len(wf.SPECS) + 7 + len(zoo.BLENDS), scheduled.filter("usable").count()
+    report = zoo.full_report(scheduled, found)
+    count = {name: table.count() for name, table in report.items()}
+    assert count["accuracy"] == count["efficiency"] == count["residuals"] == count["crisis_bars"] == n_models and count["by_regime"] == 3 * n_models
+    assert count["against_base"] == (n_models - 1) * 9 and count["conditional"] == 2 * n_models and count["in_crises"] == 3 * len(set(zoo.CRISIS_PAIRS))
+    assert count["cumulative"] == (n_models - 1) * n_rows and count["best_forecasts"] == 3 * n_rows and count["verdict"] == 1
+    assert len(zoo.ENCOMPASSING_PAIRS) <= count["encompassing"] <= len(zoo.ENCOMPASSING_PAIRS) + 1
+
+
 def test_refits_are_fitted_from_the_first_one(spark, table, scheduled):
     x, _ = table
     rows = scheduled.filter("refit_id is null or refit_id < 2").persist()

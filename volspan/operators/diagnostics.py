@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from volspan.functions.distributions import chi_squared_p
+from volspan.functions.volatility import finite
 
 
 def acf(rows: DataFrame, key: list[str], value: str, order: str, lags: int) -> DataFrame:
@@ -62,3 +63,12 @@ def arch_lm(rows: DataFrame, key: list[str], value: str, order: str, lags: int =
         pivot = F.when(F.col(at(k, k)) > 0, F.col(at(k, k)))
         out = out.select(*key, "n", "_total", *[(F.col(at(i, j)) - F.coalesce(F.col(at(i, k)) * F.col(at(j, k)) / pivot, F.lit(0.0))).alias(at(i, j)) for i in range(k) for j in range(i + 1)])
     return out.select(*key, "n", F.when(F.col("_total") > 0, F.col("n") * (1 - F.col("c0_0") / F.when(F.col("_total") > 0, F.col("_total")))).alias("lm")).withColumn("p_value", chi_squared_p(F.col("lm"), lags))
+
+
+def residual_tests(forecasts: DataFrame) -> DataFrame:
+    """Per series and model: serial dependence of the finite residuals and of their squares (Ljung-Box, 20 lags), and remaining heteroscedasticity (10 lags)."""
+    rows = forecasts.withColumn("resid", F.col("actual") - F.col("forecast")).filter(finite(F.col("resid"))).withColumn("resid2", F.pow("resid", 2))
+    key = ["series_id", "model"]
+    plain, squared = (ljung_box(acf(rows, key, c, "dt", 20), key) for c in ("resid", "resid2"))
+    lm = arch_lm(rows, key, "resid", "dt").select(*key, "lm", F.col("p_value").alias("p_lm"))
+    return plain.withColumnRenamed("p_value", "p_q").join(squared.select(*key, F.col("q").alias("q_squared"), F.col("p_value").alias("p_q_squared")), key).join(lm, key)

@@ -100,6 +100,21 @@ def encompassing(forecasts: DataFrame, pairs: DataFrame | list[tuple[str, str]])
     return out.select("series_id", "first", "second", "n", "b1", "t1", student_t_p(F.col("t1"), F.col("n") - 2).alias("p1"), "b2", "t2", student_t_p(F.col("t2"), F.col("n") - 2).alias("p2"))
 
 
+def encompassing_with_best(forecasts: DataFrame, listed: list[tuple[str, str]], against: str, models: list[str]) -> DataFrame:
+    """The listed pairs and each series' best model by RMSE with ``against``, each pair once; adds ``best`` and ``encompasses`` (the second adds nothing at 5 %)."""
+    best = ranking(metrics(forecasts)).filter("rank_by_rmse = 1").select("series_id", F.col("model").alias("best"))
+    found = encompassing(forecasts, distinct_pairs([*listed, *[(m, against) for m in models if m != against]]))
+    wanted = F.concat_ws("|", "first", "second").isin(["|".join(p) for p in listed])
+    return found.join(best, "series_id").filter(wanted | (F.col("first") == F.col("best"))).withColumn("encompasses", F.col("p2") > 0.05)
+
+
+def wins(tests: DataFrame, base: str) -> DataFrame:
+    """Per series: how many models are tested against the base by squared errors over all rows, how many beat it at 5 %, and which."""
+    tests = tests.filter((F.col("first") == base) & (F.col("loss") == "mse") & (F.col("subsample") == "overall"))
+    won = (F.col("dm_stat") > 0) & (F.col("p_value") < 0.05)
+    return tests.groupBy("series_id").agg(F.count("*").alias("n_tests"), F.count_if(won).alias("n_wins"), F.array_join(F.array_sort(F.collect_list(F.when(won, F.col("second")))), ", ").alias("winners"))
+
+
 def slope_difference(by_regime: DataFrame) -> DataFrame:
     """t of the difference between crisis and calm slopes, from ``mincer_zarnowitz`` rows with ``regime``."""
     pick = lambda c, r: F.max(F.when(F.col("regime") == r, F.col(c)))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from volspan.functions.volatility import FORECAST_FLOOR, floored
 from volspan.operators import corrections as cor
+from volspan.operators import diagnostics as dia
 from volspan.operators import egarch
+from volspan.operators import evaluation as ev
+from volspan.operators import reports as rep
 from volspan.operators import walk_forward as wf
 from volspan.operators.features import HAR
 
@@ -99,3 +102,21 @@ def audit_ranges(audit: DataFrame) -> DataFrame:
     """Per series: refits, least and most training rows and crisis rows, whether both regimes are stable at every refit, ranges of the regime lines."""
     ends = [f(c).alias(f"{name}_{c}") for c in ("n_train", "n_crisis", "n_calm", "alpha_crisis", "beta_crisis", "alpha_calm", "beta_calm") for name, f in (("least", F.min), ("most", F.max))]
     return audit.groupBy("series_id").agg(F.count("*").alias("refits"), F.bool_and("crisis_stable").alias("crisis_stable"), F.bool_and("calm_stable").alias("calm_stable"), *ends)
+
+
+def full_report(scheduled: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a run's report over all its models: accuracy and ranks, tests against the base, efficiency, encompassing, accuracy by the quantile of the test rows' own actuals, tests
+    in crises, residuals, the data of the charts, and the verdict."""
+    labelled = ev.label_regimes(found, rep.crisis_threshold(scheduled, scheduled)).persist()
+    own = ev.label_regimes(found, rep.crisis_threshold(scheduled, scheduled.filter("usable"), "test"))
+    models = [s.name for s in wf.SPECS] + [RAW, POOLED, REGIME, Q_POOLED, Q_REGIME, SWITCH, COMBINED, *BLENDS]
+    scored = ev.metrics(labelled)
+    ranked = ev.ranking(scored)
+    against = ev.dm_tests(labelled, [(BASE, m) for m in models if m != BASE])
+    return {
+        "accuracy": ranked, "by_regime": scored, "against_base": against, "efficiency": ev.mincer_zarnowitz(labelled, ["series_id", "model"]),
+        "encompassing": ev.encompassing_with_best(labelled, ENCOMPASSING_PAIRS, RAW, models), "conditional": ev.metrics(own).filter("subsample <> 'overall'"),
+        "in_crises": ev.dm_tests(labelled, ev.distinct_pairs(CRISIS_PAIRS)).filter("subsample = 'crisis'"), "residuals": dia.residual_tests(labelled),
+        "cumulative": ev.cumulative_difference(labelled, BASE), "best_forecasts": rep.top_forecasts(labelled, ranked), "crisis_bars": scored.filter("subsample = 'crisis'"),
+        "verdict": rep.verdicts(scored, BASE).join(ev.wins(against, BASE), "series_id"),
+    }

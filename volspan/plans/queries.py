@@ -557,10 +557,7 @@ def report_dm_of_corrections(spark, d):
 
 @query
 def report_wins(spark, d):
-    """Models that beat the base significantly by squared errors, per series."""
-    tests = ev.dm_tests(reported(spark, d), REPORT_PAIRS).filter((F.col("first") == M1.name) & (F.col("loss") == "mse") & (F.col("subsample") == "overall"))
-    wins = (F.col("dm_stat") > 0) & (F.col("p_value") < 0.05)
-    return tests.groupBy("series_id").agg(F.count("*").alias("n_tests"), F.count_if(wins).alias("n_wins"), F.array_join(F.array_sort(F.collect_list(F.when(wins, F.col("second")))), ", ").alias("winners"))
+    return ev.wins(ev.dm_tests(reported(spark, d), REPORT_PAIRS), M1.name)
 
 
 @query
@@ -570,12 +567,7 @@ def report_mz_tests(spark, d):
 
 @query
 def report_encompassing(spark, d):
-    """The listed pairs and the best model by RMSE against the raw variance, each pair once."""
-    rows = reported(spark, d)
-    best = ev.ranking(ev.metrics(rows)).filter("rank_by_rmse = 1").select("series_id", F.col("model").alias("best"))
-    pairs = ev.distinct_pairs([*zoo.ENCOMPASSING_PAIRS, *[(m, zoo.RAW) for m in REPORTED if m != zoo.RAW]])
-    listed = F.concat_ws("|", "first", "second").isin(["|".join(p) for p in zoo.ENCOMPASSING_PAIRS])
-    return ev.encompassing(rows, pairs).join(best, "series_id").filter(listed | (F.col("first") == F.col("best"))).withColumn("encompasses", F.col("p2") > 0.05)
+    return ev.encompassing_with_best(reported(spark, d), zoo.ENCOMPASSING_PAIRS, zoo.RAW, REPORTED)
 
 
 @query
@@ -614,12 +606,4 @@ def report_crisis_bars(spark, d):
 
 @query
 def report_residuals(spark, d):
-    """Serial dependence of every model's finite residuals and of their squares, and remaining heteroscedasticity."""
-    from volspan.functions.volatility import finite
-
-    rows = reported(spark, d).withColumn("resid", F.col("actual") - F.col("forecast")).filter(finite(F.col("resid"))).withColumn("resid2", F.pow("resid", 2))
-    key = ["series_id", "model"]
-    plain, squared = (dia.ljung_box(dia.acf(rows, key, c, "dt", 20), key) for c in ("resid", "resid2"))
-    lm = dia.arch_lm(rows, key, "resid", "dt")
-    named = [plain.select(*key, "n", F.col("q").alias("q"), F.col("p_value").alias("p_q")), squared.select(*key, F.col("q").alias("q_squared"), F.col("p_value").alias("p_q_squared")), lm.select(*key, "lm", F.col("p_value").alias("p_lm"))]
-    return named[0].join(named[1], key).join(named[2], key)
+    return dia.residual_tests(reported(spark, d))
