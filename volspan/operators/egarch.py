@@ -27,11 +27,13 @@ _MEAN_ABS = math.sqrt(2 / math.pi)
 
 def log_variances(returns: list[float], mu: float, omega: float, alpha: float, gamma: float, beta: float, nu: float = 8.0) -> list[float]:
     """Log variance of each row and, last, of the row to come."""
-    out, v, exp = [omega / (1 - beta)], omega / (1 - beta), math.exp
+    v, exp = omega / (1 - beta), math.exp
+    out, base, up, down = [v], omega - alpha * _MEAN_ABS, gamma + alpha, gamma - alpha
     for r in returns:
         z = (r - mu) * exp(-v / 2)
-        v = omega + alpha * (abs(z) - _MEAN_ABS) + gamma * z + beta * v
-        v = min(max(v, -50.0), 50.0)
+        v = base + (up if z >= 0 else down) * z + beta * v
+        if v > 50.0 or v < -50.0:
+            v = min(max(v, -50.0), 50.0)
         out.append(v)
     return out
 

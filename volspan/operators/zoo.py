@@ -94,7 +94,7 @@ def slopes_fall(audit: DataFrame) -> DataFrame:
     return audit.groupBy("series_id").agg(
         F.count("*").alias("refits"), every(lambda n: F.col(f"converged_d_{n}")).alias("all_converged"),
         every(lambda n: F.col(f"beta_d_{n}") > F.col(f"beta_{n}")).alias("all_above"), every(lambda n: F.col(f"beta_d_{n}") < F.col(f"beta_{n}")).alias("all_below"),
-        *[f(f"beta{kind}_{n}").alias(f"{name}_beta{kind}_{n}") for n in names for kind in ("", "_d") for name, f in (("least", F.min), ("most", F.max))],
+        *[f(f"beta{kind}_{n}").alias(f"{name}_beta_{fit}_{n}") for n in names for fit, kind in (("ols", ""), ("qlike", "_d")) for name, f in (("least", F.min), ("most", F.max))],
     )
 
 
