@@ -17,7 +17,7 @@ import numpy as np
 from .textscan import PrefixHash, same_slices, spread
 
 #: Distinct chunks that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 _BLOCK = 1 << 18
 
 _SPACE, _DOT, _COMMA, _NEWLINE = b" .,\n"
