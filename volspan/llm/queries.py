@@ -17,6 +17,7 @@ from .decontaminate import find_contamination, items_digest
 from .jaccard_join import jaccard_classes
 from .oracles import CONTROL, ORACLES
 from .packing import pack_documents
+from .periodic import periodic_runs, planted, run_digests
 from .robust import quality_rules
 from .rule_ensemble import quality_scores, train
 from .secrets import find_secrets
@@ -84,6 +85,10 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(planted(read_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
