@@ -47,4 +47,20 @@ made AS (SELECT *, length({_escaped.format("role")}) + length({_escaped.format("
 said AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(n) + {len(BEGIN)} AS BIGINT) AS formatted_chars FROM made GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said"""
 
-ORACLES = {"op3_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op9_chat_parts": CHATS}
+_step = " UNION ALL ".join(
+    f"SELECT a || b || c || d || e AS filter_order, {k + 1} AS step, {x} AS f, {' + '.join(f'bit_of({y})' for y in 'abcde'[:k]) or '0'} AS before, bit_of({x}) AS bit FROM perms" for k, x in enumerate("abcde")
+)
+for _x in "abcde":
+    _step = _step.replace(f"bit_of({_x})", f"(1 << (ascii({_x}) - 65))")
+AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d), marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(w.doc_id) OVER (PARTITION BY t) < w.doc_id, false)::INT AS mask FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), perms AS (SELECT p.x AS a, q.x AS b, r.x AS c, s.x AS d, t.x AS e FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS ({_step})
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+ CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+ CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & bit > 0), 0) AS BIGINT) AS shapley
+FROM counts, steps GROUP BY part, filter_order, step"""
+
+ORACLES = {"op11_filter_audit": AUDIT, "op3_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op9_chat_parts": CHATS}

@@ -1,6 +1,6 @@
 """The thin ``opN_<name>`` queries: each applies its operator to its whole table and derives the contract's columns.
 
-SQL is given for operators 3, 7 and 9. Tokenizers, estimates, models, spans and label propagation are beyond it, so the tests hold those against brute force, round trips and held-out labels.
+SQL is given for operators 3, 7, 9 and 11. Tokenizers, estimates, models, spans and label propagation are beyond it, so the tests hold those against brute force, round trips and held-out labels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files
+from . import filter_audit, token_files
 from .chat import format_chats, read_chats
 from .common import read_table
 from .decontaminate import find_contamination, items_digest
@@ -85,6 +85,10 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(read_table(spark, sf_dir, "documents"))))
 
