@@ -63,4 +63,23 @@ SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE mask & (befo
  CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & bit > 0), 0) AS BIGINT) AS shapley
 FROM counts, steps GROUP BY part, filter_order, step"""
 
-ORACLES = {"op11_filter_audit": AUDIT, "op3_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op9_chat_parts": CHATS}
+_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+_url = lambda url, k: f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)([?][^#]*)?', {k})"
+_host = lambda url: f"translate({_url(url, 1)}, '{UPPER}', '{LOWER}')"
+_node = lambda url: f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || {_url(url, 2)} || {_url(url, 3)} END"
+_best = lambda host, path: f"(SELECT arg_max(r, (length(r.host) + length(r.path), r.verdict = 'allow', r.host || r.path)) FROM rules r WHERE ({host} = r.host OR ends_with({host}, '.' || r.host)) AND starts_with({path}, r.path))"
+_tags = lambda tag, kind, address: f"list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<{tag}\\b[^<>]*>'), lambda t: regexp_matches(t, '(?i){kind}')), lambda t: replace(regexp_extract(t, '(?i){address}', 1), '&amp;', '&'))"
+_value = r"\s*=\s*[\x22\x27]?"
+URLS = rf"""WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(map(str, _RULES))}) AS v(verdict, host, path)),
+p AS (SELECT page_id, url, coalesce({_host("url")}, '') AS host, coalesce({_url("url", 2)}, '') AS path, {_node("url")} AS node, list_concat({_tags("link", rf"\brel{_value}canonical\b", rf"\bhref{_value}([^\x22\x27\s<>]+)")}, {_tags("meta", rf"\bhttp-equiv{_value}refresh\b", rf"\burl{_value}([^\x22\x27\s<>]+)")}) AS named FROM pages),
+links AS (SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)?', 0) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)?', 0) END || t END AS target FROM (SELECT node, host, path, unnest(named) AS t FROM p) AS u WHERE t <> '' AND node IS NOT NULL),
+named AS (SELECT node FROM p WHERE node IS NOT NULL UNION SELECT {_node("target")} FROM links WHERE {_node("target")} IS NOT NULL),
+plain AS (SELECT node, regexp_replace(regexp_replace(regexp_extract(node, '^[^/?]*'), ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace(regexp_extract(node, '^[^/?]*([^?]*)', 1), '/$', '') || CASE WHEN length(q) > 1 THEN '?' || q[2:] ELSE '' END AS target FROM (SELECT node, regexp_replace('&' || regexp_extract(node, '[?](.*)$', 1), '&(utm_[a-z]+|gclid|fbclid|ref)=[^&]*', '', 'g') AS q FROM named) AS n),
+edges AS (SELECT node AS a, {_node("target")} AS b FROM links UNION SELECT node, target FROM plain), bothways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+reach AS (SELECT node AS a, node AS b FROM p WHERE node IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN bothways e ON r.b = e.a),
+decided AS (SELECT node, {_best("regexp_extract(node, '^[^/?]*')", "regexp_extract(node, '^[^/?]*([^?]*)', 1)")} AS r FROM named),
+alias AS (SELECT a AS node, min(r.verdict) AS verdict FROM reach JOIN decided ON reach.b = decided.node GROUP BY a),
+own AS (SELECT page_id, host, path, node, {_best("p.host", "p.path")} AS r FROM p)
+SELECT page_id, own.host, own.path, own.r.host || own.r.path AS rule, coalesce(own.r.verdict, alias.verdict, 'allow') AS verdict, CASE WHEN own.r IS NOT NULL THEN 'rule' WHEN alias.verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by FROM own LEFT JOIN alias ON own.node = alias.node"""
+
+ORACLES = {"op12_url_filter": URLS, "op11_filter_audit": AUDIT, "op3_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op9_chat_parts": CHATS}

@@ -1,6 +1,6 @@
 """The thin ``opN_<name>`` queries: each applies its operator to its whole table and derives the contract's columns.
 
-SQL is given for operators 3, 7, 9 and 11. Tokenizers, estimates, models, spans and label propagation are beyond it, so the tests hold those against brute force, round trips and held-out labels.
+SQL is given for operators 3, 7, 9, 11 and 12. Tokenizers, estimates, models, spans and label propagation are beyond it, so the tests hold those against brute force, round trips and held-out labels.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from .rule_ensemble import quality_scores, train
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
+from .url_filter import judge_urls
 
 CONTROL_TEXT = CONTROL
 
@@ -89,6 +90,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+#: Fixed values of the contract.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(read_table(spark, sf_dir, "documents"))))
 
