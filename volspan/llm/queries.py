@@ -83,7 +83,7 @@ def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(read_table(spark, sf_dir, "documents")).drop("findings")
+    return find_secrets(read_table(spark, sf_dir, "documents"), listed=False)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
