@@ -87,3 +87,17 @@ def test_links_and_matches(spark, docs):
     bench = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(PAIRS)], "item_id long, text string")
     for r in decontaminate.find_contamination(table, bench).collect():
         assert r["items"] == sorted(str(k) for k, (x, _) in enumerate(PAIRS) if x in texts[r["doc_id"]].split(" "))
+
+
+def test_cuts_end_with_their_text():
+    """No cut looks past a text's end: with a tokenizer that has a token of two spaces, the ids of texts side by side are those of each alone."""
+    encoder = tokens.Encoder(tokenizer())
+    texts = ["x  ", "bcd", "", "a\n", "b .", ",c  ", " d", "e ", "", "f"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t) for t in texts)])
+    cuts = set(encoder._chunks(data, off).tolist())
+    alone = {int(off[k]) + c for k, t in enumerate(texts) if len(t) > 2 for c in encoder._chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).tolist()}
+    assert {c for c in cuts if any(off[k] <= c < off[k + 1] for k, t in enumerate(texts) if len(t) > 2)} == alone and 2 not in cuts
+    ids, upto = encoder.encode(data, off)
+    for k, t in enumerate(texts):
+        assert ids[upto[k] : upto[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids

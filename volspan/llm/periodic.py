@@ -6,7 +6,7 @@ of that step meets every run of the period; over all periods the grids are a har
 to both sides is found by one binary search over prefix hashes, for all pairs at once. Runs that several points or multiples of a period found are one run, of the least period; the words
 of what is left are compared byte by byte, and a text in which a fingerprint misled is read again word by word.
 
-A step is 2 MB of texts or one longer text, and pairs are made by blocks, so memory follows the longest text. Rows are independent: nothing is shuffled.
+A step is 1 MB of texts or one longer text, and pairs are made by blocks, so memory follows the longest text. Rows are independent: nothing is shuffled.
 """
 
 from __future__ import annotations

@@ -123,6 +123,7 @@ class Encoder:
         single = np.flatnonzero((here == _NEWLINE) & _VISIBLE[before] & seen_next) + 1
         cut[single] = True
         cut[single + 1] = True
+        cut[off[1:][off[1:] > 0] - 1] = False  # what comes next is another text
         cut[off[:-1]] = True
         return np.flatnonzero(cut[: len(data)])
 
