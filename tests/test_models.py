@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from volspan.functions import distributions as dist
-from volspan.functions.simplex import minimize
-from volspan.operators import corrections as cor
+from tests.simplex import minimize
 from volspan.operators import diagnostics as dia
+from volspan.functions.quasi_newton import minimize_lanes
 from volspan.operators import egarch, reports
+from volspan.operators import variance_pass as vp
 from volspan.operators import evaluation as ev
 from volspan.operators import walk_forward as wf
 
@@ -158,7 +159,7 @@ def test_conditional_variance_recovers_parameters(spark):
         z = rng.standard_t(8) * math.sqrt(6 / 8)
         returns.append(math.exp(v / 2) * z)
         v = p["omega"] + p["alpha"] * (abs(z) - math.sqrt(2 / math.pi)) + p["gamma"] * z + p["beta"] * v
-    found, loglik, _ = egarch.fit(np.array(returns), 900)
+    found, loglik, _ = egarch.fit(np.array(returns))
     assert found["beta"] == pytest.approx(0.9, abs=0.06) and found["gamma"] == pytest.approx(-0.1, abs=0.05)
     assert loglik > -egarch.negative_log_likelihood(np.array(returns), np.array([p[k] for k in egarch.PARAMS])) - 1
     series = spark.createDataFrame([("s", DAY + dt.timedelta(k), r) for k, r in enumerate(returns[:300])], "series_id string, dt date, return double")
@@ -176,15 +177,70 @@ def test_corrections(spark):
     x = np.exp(rng.normal(size=400))
     y, p = (0.2 + 0.7 * x) * np.exp(0.3 * rng.normal(size=400)), rng.uniform(size=400)
     p[p > 0.94] = 0.5  # under 30 rows in the crisis regime
-    rows = spark.createDataFrame([("s", 0, float(a), float(b), float(c)) for a, b, c in zip(y, x, p, strict=True)], "series_id string, refit_id int, rv double, sigma double, p double")
-    ols = cor.mz_coefficients(rows)
-    r = ols.first()
-    assert r["beta_pooled"] == pytest.approx(np.polyfit(x, y, 1)[0]) and not r["crisis_stable"] and r["beta_crisis"] == r["beta_pooled"]
-    d = cor.qlike_coefficients(rows, ols).first()
+    rows = [("s", k, float(a), float(b), float(c), 1.0, 1.0, 1.0, 1.0) for k, (a, b, c) in enumerate(zip(y, x, p, strict=True))]
+    rows = spark.createDataFrame(rows, "series_id string, rn int, rv double, sigma double, rv1_pctile double, rv1 double, rv2 double, rv5 double, rv22 double")
+    refits = spark.createDataFrame([("s", 0, 400, 400, 420)], "series_id string, refit_id int, n_train int, first int, last int")
+    lines = vp.with_lines(vp.summed(rows, refits))
+    r = vp.chosen(rows, lines, []).first()
+    assert r["beta_pooled"] == pytest.approx(np.polyfit(x, y, 1)[0]) and not r["crisis_stable"] and r["beta_crisis"] == r["beta_pooled"] and r["n_crisis"] == (p >= 0.9).sum()
     ql = lambda a, b: np.mean((y / np.maximum(a + b * x, 1e-4)) ** 2 - np.log((y / np.maximum(a + b * x, 1e-4)) ** 2) - 1)
-    assert d["converged_d_pooled"] and ql(d["alpha_d_pooled"], d["beta_d_pooled"]) <= ql(r["alpha_pooled"], r["beta_pooled"])
-    assert all(ql(d["alpha_d_pooled"], d["beta_d_pooled"]) <= ql(d["alpha_d_pooled"] + e, d["beta_d_pooled"] - e) for e in (-0.01, 0.01))
-    best = cor.grid_search(rows.withColumn("vol", F.lit(0.2) + 0.7 * F.col("sigma")).withColumn("har", F.lit(5.0))).first()
-    assert (round(best["c"], 9), best["k"]) == (0.1, 20.0)
-    flat = cor.grid_search(rows.withColumn("vol", F.lit(1.0)).withColumn("har", F.lit(1.0))).first()
-    assert (round(flat["c"], 9), flat["k"]) == (0.1, 1.0)
+    assert r["converged_d_pooled"] and r["converged_d_calm"] and r["beta_d_crisis"] == r["beta_d_pooled"]
+    for name, mask in (("pooled", p >= 0), ("calm", p < 0.9)):
+        best, _, _ = minimize(lambda q, m=mask: float(np.mean((z := (y[m] / np.maximum(q[0] + q[1] * x[m], 1e-4)) ** 2) - np.log(z) - 1)), [r[f"alpha_{name}"], r[f"beta_{name}"]])
+        assert [r[f"alpha_d_{name}"], r[f"beta_d_{name}"]] == pytest.approx(best.tolist(), abs=1e-6)
+    assert all(ql(r["alpha_d_pooled"], r["beta_d_pooled"]) <= ql(r["alpha_d_pooled"] + e, r["beta_d_pooled"] - e) for e in (-0.01, 0.01))
+    given = lambda a, b, har: lines.withColumns({"alpha_pooled": F.lit(a), "beta_pooled": F.lit(b), "har_intercept": F.lit(har), "har_coef": F.array(*[F.lit(0.0)] * 4)})
+    best = vp.chosen(rows, given(0.2, 0.7, 5.0), ["pooled"], qlike=False).first()
+    assert (round(best["c_pooled"], 9), best["k_pooled"]) == (0.1, 20.0)
+    flat = vp.chosen(rows, given(1.0, 0.0, 1.0), ["pooled"], qlike=False).first()
+    assert (round(flat["c_pooled"], 9), flat["k_pooled"]) == (0.1, 1.0)
+
+
+def test_qlike_lines_from_bad_starts():
+    """Newton's steps reach the simplex's line from far away, also from where the loss bends the other way."""
+    rng = np.random.default_rng(3)
+    x = np.exp(rng.normal(size=300))
+    y = (0.5 + 0.4 * x) * np.exp(0.4 * rng.normal(size=300))
+    starts = np.array([[0.5, 0.01, 2.0], [0.4, 0.001, 9.0]])
+    mask = np.ones((300, 1), bool)
+    at, done = vp.qlike_lines(starts, lambda q: vp._qlike_sums(y, np.repeat(x[:, None], q.shape[1], axis=1), mask, q[0], q[1]))
+    best, _, _ = minimize(lambda q: float(np.mean((z := (y / np.maximum(q[0] + q[1] * x, 1e-4)) ** 2) - np.log(z) - 1)), [0.5, 0.4])
+    assert done.all() and at == pytest.approx(np.repeat(best[:, None], 3, axis=1), abs=1e-6)
+
+
+def test_gradient_of_the_likelihood(monkeypatch):
+    returns = np.random.default_rng(0).standard_t(6, 300)
+    counts, p = np.array([300, 120, 300, 7]), np.array([[0.02, 0.03, 0.2, -0.08, 0.9, 7.0], [0.1, -0.1, 0.1, 0.1, -0.5, 20.0], [0.0, 0.2, -0.1, 0.05, 0.3, 3.0], [0.3, 0.2, 1.5, 1.2, 0.3, 100.0]])
+    for few in (0, 12):
+        monkeypatch.setattr(egarch, "_FEW", few)
+        value, gradient, _ = egarch.likelihoods(returns, counts, p)
+        for k, n in enumerate(counts.tolist()):
+            v, nu = np.array(egarch.log_variances(returns[:n].tolist(), *p[k])[:-1]), p[k, 5]
+            constant = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+            assert value[k] == pytest.approx(-(constant - 0.5 * v - (nu + 1) / 2 * np.log1p((returns[:n] - p[k, 0]) ** 2 * np.exp(-v) / (nu - 2))).sum())
+        for j in range(6):
+            step = np.eye(6)[j] * 1e-6
+            numeric = (egarch.likelihoods(returns, counts, p + step)[0] - egarch.likelihoods(returns, counts, p - step)[0]) / 2e-6
+            assert gradient[:, j] == pytest.approx(numeric, rel=1e-4, abs=1e-4)
+
+
+def test_quasi_newton_on_many_lanes():
+    def f(x, lanes):
+        """Rosenbrock's valley, another scale for each lane."""
+        a = (lanes + 1.0) * 10
+        return (1 - x[:, 0]) ** 2 + a * (x[:, 1] - x[:, 0] ** 2) ** 2, np.stack([-2 * (1 - x[:, 0]) - 4 * a * x[:, 0] * (x[:, 1] - x[:, 0] ** 2), 2 * a * (x[:, 1] - x[:, 0] ** 2)], axis=1)
+
+    x, value, left = minimize_lanes(f, np.array([[-1.2, 1.0]] * 12 + [[1.0, 1.0]]), 1e-8)
+    assert x == pytest.approx(np.ones((13, 2)), abs=1e-6) and (value < 1e-12).all() and (left <= 1e-8).all()
+
+
+def test_paths_have_the_moments_of_a_closed_form():
+    p = {"mu": 0.0, "omega": 0.1, "alpha": 0.2, "gamma": -0.1, "beta": 0.8, "nu": 7.0}
+    added = egarch.shocks(p, 2, 400_000, np.random.default_rng(5))
+    mean_abs = 2 * math.sqrt(p["nu"] - 2) * math.gamma((p["nu"] + 1) / 2) / ((p["nu"] - 1) * math.sqrt(math.pi) * math.gamma(p["nu"] / 2))
+    assert not added[0].any() and added[1].mean() == pytest.approx(p["omega"] + p["alpha"] * (mean_abs - math.sqrt(2 / math.pi)), abs=1e-3)
+    assert added[1].var() == pytest.approx(p["alpha"] ** 2 * (1 - mean_abs**2) + p["gamma"] ** 2, rel=0.02)
+    v = np.array([0.5, -1.0])
+    want = (np.exp(v / 2) + np.exp(0.5 * p["beta"] * v) * math.sqrt(np.exp(added[1]).mean())) / 2
+    assert egarch.path_mean(v, p, added) == pytest.approx(want)
+    assert egarch.path_mean(v, p, np.full((2, 3), np.inf)) == pytest.approx(np.exp(v / 2))

@@ -1,14 +1,18 @@
 """Every model of the walk-forward against direct computation on one series, under given variance parameters, and the audits."""
 
 import datetime as dt
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.simplex import minimize
 from volspan.operators import corrections as cor
 from volspan.operators import egarch, zoo
 from volspan.operators import evaluation as ev
+from volspan.operators import variance_pass as vp
 from volspan.operators import walk_forward as wf
 
 DAY = dt.date(2015, 1, 1)
@@ -48,7 +52,7 @@ def direct(x, sigma, at, t):
     lines = {}
     for name, rows in (("pooled", p >= 0), ("crisis", p >= 0.9), ("calm", p < 0.9)):
         b, a = np.polyfit(s[rows], y[rows], 1)
-        lines[name], lines["q_" + name] = (a, b), cor.qlike_fit(y[rows], s[rows], (a, b))[:2]
+        lines[name], lines["q_" + name] = (a, b), minimize(lambda q, y=y[rows], s=s[rows]: qlike(y, q[0] + q[1] * s), [a, b])[0]
     on = lambda line, v: lines[line][0] + lines[line][1] * v
     kinds = {
         "pooled": lambda v, q: on("pooled", v), "regime": lambda v, q: np.where(q >= 0.9, on("crisis", v), on("calm", v)), "q_pooled": lambda v, q: on("q_pooled", v),
@@ -83,12 +87,12 @@ def test_every_model_equals_direct_computation(spark, table, scheduled):
     for r in rows[::9]:
         for model, value in direct(x, sigma, first[r["refit_id"]], r["rn"]).items():
             assert got[model, r["dt"]] == pytest.approx(value, rel=1e-6), (model, r["dt"])
-    audit = found.audit.orderBy("refit_id").collect()
+    audit = zoo.audit(found).orderBy("refit_id").collect()
     assert [r["n_train"] for r in audit] == [first[k] for k in sorted(first)] and all(r["eg_beta"] == 0.9 for r in audit)
-    slopes = zoo.slopes_fall(found.audit).first()
+    slopes = zoo.slopes_fall(found).first()
     above = [r[f"beta_d_{n}"] > r[f"beta_{n}"] for r in audit for n in ("pooled", "crisis", "calm")]
     assert (slopes["refits"], slopes["all_above"], slopes["all_below"]) == (len(audit), all(above), not any(above))
-    ranges = zoo.audit_ranges(found.audit).first()
+    ranges = zoo.audit_ranges(found).first()
     assert (ranges["least_n_train"], ranges["most_n_train"]) == (audit[0]["n_train"], audit[-1]["n_train"])
     assert ranges["crisis_stable"] == all(r["crisis_stable"] for r in audit)
 
@@ -104,20 +108,60 @@ def test_report_holds_every_model(scheduled):
     assert len(zoo.ENCOMPASSING_PAIRS) <= count["encompassing"] <= len(zoo.ENCOMPASSING_PAIRS) + 1
 
 
-def test_refits_are_fitted_from_the_first_one(spark, table, scheduled):
+def test_refits_are_fitted_together_and_one_after_the_other(spark, table, scheduled, monkeypatch):
+    x = table[0]
+    fits = egarch.fit_refits(scheduled).orderBy("refit_id").collect()
+    chained = egarch.fit_refits(scheduled, chained=True).orderBy("refit_id").collect()
+    served = {r["refit_id"]: (r["first"], r["last"]) for r in scheduled.filter("usable").groupBy("refit_id").agg(F.min("rn").alias("first"), F.max("rn").alias("last")).collect()}
+    assert [r["refit_id"] for r in fits] == sorted(served) and all((r["first"], r["last"]) == served[r["refit_id"]] and r["n_train"] == r["first"] for r in fits)
+    rng = np.random.default_rng(2)
+    for r, c in zip(fits, chained, strict=True):
+        returns = x[: r["n_train"], 13]
+        p = np.array([r[k] for k in egarch.PARAMS])
+        assert r["converged"] and r["grad_norm"] <= egarch.TOLERANCE and r["loglik"] == pytest.approx(-egarch.negative_log_likelihood(returns, p))
+        assert c["loglik"] == pytest.approx(r["loglik"], abs=1e-3)
+        for _ in range(3):
+            start = [rng.normal(), rng.normal(), rng.normal(0, 0.3), rng.normal(0, 0.2), rng.uniform(-0.9, 0.95), rng.uniform(3, 40)]
+            assert egarch.fit(returns, start)[1] <= r["loglik"] + 1e-3
+    monkeypatch.setattr(egarch, "LANES", 2)
+    again = egarch.fit_refits(scheduled).orderBy("refit_id").collect()
+    assert [r["loglik"] for r in again] == pytest.approx([r["loglik"] for r in fits], abs=1e-3)
+
+
+def test_sums_are_those_of_each_refits_own_filter(table, scheduled, monkeypatch):
     x, _ = table
-    rows = scheduled.filter("refit_id is null or refit_id < 2").persist()
-    params = {r["refit_id"]: r for r in egarch.fit_refits(wf.training_rows(rows, ["return"])).collect()}
-    start = None
-    for k in sorted(params):
-        r = params[k]
-        want, value, done = egarch.fit(x[: r["n_train"], 13], start=start)
-        assert {p: r[p] for p in egarch.PARAMS} == pytest.approx(want) and r["converged"] == done and r["loglik"] == pytest.approx(value)
-        start = start or [want[p] for p in egarch.PARAMS]
-    sigma = egarch.filter_refits(rows, egarch.fit_refits(wf.training_rows(rows, ["return"]))).filter("refit_id = 1").orderBy("rn").collect()
-    v = egarch.log_variances(x[: len(sigma), 13].tolist(), **{p: params[1][p] for p in egarch.PARAMS})[:-1]
-    assert [s["sigma"] for s in sigma] == pytest.approx(np.exp(np.array(v) / 2).tolist())
-    assert sum(s["train"] for s in sigma) == params[1]["n_train"] and len(sigma) == rows.filter("refit_id <= 1 or not is_test").filter("series_id = 's'").count()
+    params = egarch.fit_refits(scheduled, embargo=5)
+    found = vp.summed(scheduled, params).orderBy("refit_id").collect()
+    for r in found:
+        n, own = r["n_train"], {p: r[p] for p in egarch.PARAMS}
+        assert n == r["first"] - 5
+        s, y, p = np.exp(np.array(egarch.log_variances(x[:, 13].tolist(), **own)) / 2), x[:n, 0], x[:n, 14]
+        for k, rows in enumerate((p >= 0, p >= 0.9, p < 0.9)):
+            assert r["sums"][6 * k : 6 * k + 6] == pytest.approx([rows.sum(), s[:n][rows].sum(), (s[:n][rows] ** 2).sum(), y[rows].sum(), (y[rows] ** 2).sum(), (s[:n][rows] * y[rows]).sum()])
+        z = np.column_stack([y, x[:n, 1:5], s[:n]])
+        assert r["moments"] == pytest.approx([*z.sum(axis=0), *[(z[:, a] * z[:, b]).sum() for a in range(6) for b in range(a + 1)]])
+        assert [v["rn"] for v in r["served"]] == list(range(r["first"], r["last"] + 1)) and [v["sigma"] for v in r["served"]] == pytest.approx(s[r["first"] : r["last"] + 1].tolist())
+    monkeypatch.setattr(egarch, "LANES", 1)
+    again = vp.summed(scheduled, params).orderBy("refit_id").collect()
+    assert all(a["sums"] == pytest.approx(b["sums"]) and a["moments"] == pytest.approx(b["moments"]) for a, b in zip(found, again, strict=True))
+    # Five rows ahead: from the filter that ends five rows before the row, by the refit's own paths.
+    for r in vp.summed(scheduled, params, horizon=5, embargo=5).collect():
+        own = {p: r[p] for p in egarch.PARAMS}
+        v = np.array(egarch.log_variances(x[:, 13].tolist(), **own))
+        added = egarch.shocks(own, 5, 500, np.random.default_rng([42, zlib.crc32(b"s"), r["refit_id"]]))
+        want = egarch.path_mean(v[r["first"] - 5 : r["last"] - 4], own, added)
+        assert [q["rn"] for q in r["served"]] == list(range(r["first"], r["last"] + 1)) and [q["sigma"] for q in r["served"]] == pytest.approx(want.tolist())
+
+
+def test_volatilities_that_are_not_kept_are_computed_again(table, monkeypatch):
+    x, _ = table
+    rows, refits = pd.DataFrame({"return": x[:, 13]}), pd.DataFrame([PARAMS, {**PARAMS, "beta": 0.5}])
+    kept = np.concatenate([s for _, s in vp._sigmas(rows, refits, 100)()])
+    monkeypatch.setattr(vp, "KEPT", 10)
+    passes = vp._sigmas(rows, refits, 70)
+    for _ in range(2):
+        assert np.concatenate([s for _, s in passes()]) == pytest.approx(kept)
+    assert kept[:, 0] == pytest.approx(np.exp(np.array(egarch.log_variances(x[:, 13].tolist(), **PARAMS)[:-1]) / 2))
 
 
 def test_pairs_in_order_and_unknown_regimes(spark):

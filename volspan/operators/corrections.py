@@ -1,41 +1,33 @@
-"""Bias corrections of a volatility forecast and regime-weighted blends, from per-refit training rows.
-
-``training`` has ``series_id, refit_id, rv, sigma, p`` (the ex-ante percentile) of every refit's history; results are one row per refit, joined to the test rows by ``refit_id``.
-"""
+"""Bias corrections of a volatility forecast and regime-weighted blends; ``variance_pass`` finds their coefficients, one row a refit."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volspan.functions.simplex import minimize
 from volspan.functions.volatility import FORECAST_FLOOR, floored, logistic_weight
 
 # Fixed values of the models.
-CRISIS, LEAST_ROWS, K_CAP = 0.90, 30, 20
+CRISIS, LEAST_ROWS = 0.90, 30
+#: Settings of a blend: c from 0.1 in steps of 0.05, k from 1.
+GRID_C, GRID_K = 17, 20
 KEY = ["series_id", "refit_id"]
+#: A blend's first forecast: how a line corrects the volatility, and the prefix of its coefficients.
+LINES = {"pooled": ("pooled", ""), "regime": ("regime", ""), "q_pooled": ("pooled", "d_"), "q_regime": ("regime", "d_"), "switch": ("switch", "d_")}
 
 
 def in_crisis(p: Column) -> Column:
     return F.coalesce(p >= CRISIS, F.lit(False))
 
 
-def mz_coefficients(training: DataFrame) -> DataFrame:
-    """``alpha, beta`` of rv on sigma, pooled and by regime (pooled where a regime has under 30 rows), with counts and ``*_stable``."""
-    crisis, x, y = in_crisis(F.col("p")), F.col("sigma"), F.col("rv")
-    wanted = [F.count("*").cast("int").alias("n_train")]
-    for name, rows in (("pooled", F.lit(True)), ("crisis", crisis), ("calm", ~crisis)):
-        yy, xx = F.when(rows, y), F.when(rows, x)
-        wanted += [F.regr_slope(yy, xx).alias(f"beta_{name}"), F.regr_intercept(yy, xx).alias(f"alpha_{name}"), F.count_if(rows).alias(f"n_{name}")]
-    out = training.groupBy(*KEY).agg(*wanted).drop("n_pooled")
+def stable_lines(refits: DataFrame) -> DataFrame:
+    """Adds ``crisis_stable, calm_stable`` (30 rows or more by ``n_*``); a regime that isn't takes the pooled line."""
     for name in ("crisis", "calm"):
         stable = F.col(f"n_{name}") >= LEAST_ROWS
-        out = out.withColumns({f"{name}_stable": stable, f"alpha_{name}": F.when(stable, F.col(f"alpha_{name}")).otherwise(F.col("alpha_pooled")), f"beta_{name}": F.when(stable, F.col(f"beta_{name}")).otherwise(F.col("beta_pooled"))})
-    return out
+        refits = refits.withColumns({f"{name}_stable": stable, **{f"{x}_{name}": F.when(stable, F.col(f"{x}_{name}")).otherwise(F.col(f"{x}_pooled")) for x in ("alpha", "beta")}})
+    return refits
 
 
 def corrected(sigma: Column, p: Column, kind: str, prefix: str = "") -> Column:
@@ -46,78 +38,13 @@ def corrected(sigma: Column, p: Column, kind: str, prefix: str = "") -> Column:
     return F.when(in_crisis(p), line("crisis") if kind == "regime" else sigma).otherwise(line("calm"))
 
 
-def qlike_fit(y: np.ndarray, x: np.ndarray, start: tuple[float, float]) -> tuple[float, float, bool]:
-    """(alpha, beta, converged) of the line with the least mean QLIKE, from a start such as the least-squares line."""
-
-    def mean_loss(p: np.ndarray) -> float:
-        r = (y / np.maximum(p[0] + p[1] * x, FORECAST_FLOOR)) ** 2
-        return float(np.mean(r - np.log(r) - 1))
-
-    best, _, done = minimize(mean_loss, list(start))
-    return float(best[0]), float(best[1]), done
-
-
-def qlike_coefficients(training: DataFrame, ols: DataFrame) -> DataFrame:
-    """``alpha_d_*, beta_d_*, converged_d_*`` for pooled, crisis and calm rows, each fit started at its least-squares line; regimes under 30 rows take the pooled fit."""
-    lines = [f"{k}_{name}" for name in ("pooled", "crisis", "calm") for k in ("alpha", "beta")]
-    rows = training.select(*KEY, "rv", "sigma", in_crisis(F.col("p")).alias("crisis")).join(ols.select(*KEY, *lines), KEY)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = {k: frame[k].iloc[0] for k in KEY}
-        y, x, crisis = frame["rv"].to_numpy(), frame["sigma"].to_numpy(), frame["crisis"].to_numpy(bool)
-        for name, mask in (("pooled", np.ones(len(y), bool)), ("crisis", crisis), ("calm", ~crisis)):
-            if name != "pooled" and mask.sum() < LEAST_ROWS:
-                found = (out["alpha_d_pooled"], out["beta_d_pooled"], out["converged_d_pooled"])
-            else:
-                found = qlike_fit(y[mask], x[mask], (frame[f"alpha_{name}"].iloc[0], frame[f"beta_{name}"].iloc[0]))
-            out |= dict(zip((f"alpha_d_{name}", f"beta_d_{name}", f"converged_d_{name}"), found, strict=True))
-        return pd.DataFrame([out])
-
-    schema = "series_id string, refit_id int, " + ", ".join(f"alpha_d_{n} double, beta_d_{n} double, converged_d_{n} boolean" for n in ("pooled", "crisis", "calm"))
-    return rows.groupBy(*KEY).applyInPandas(run, schema)
-
-
-_CS, _KS = 17, K_CAP
-
-
-def _grid_sums(y: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed QLIKE of the rows at each of the 17 x 20 settings, c outermost."""
-    out = np.empty(_CS * _KS)
-    for i in range(_CS):
-        for k in range(1, _KS + 1):
-            w = 1 / (1 + np.exp(-k * (p - (0.1 + i * 0.05))))
-            r = (y / np.maximum(w * a + (1 - w) * b, FORECAST_FLOOR)) ** 2
-            out[i * _KS + k - 1] = np.sum(r - np.log(r) - 1)
-    return out
-
-
-def grid_search(training: DataFrame, first: str | list[str] = "vol", second: str = "har") -> DataFrame:
-    """``c, k, train_qlike`` of the logistic blend with the least mean QLIKE over 17 x 20 settings; ties go to the lower c, then k. For a list of first forecasts the columns are
-    ``c_<name>, k_<name>, train_qlike_<name>``.
-
-    Rows stay where they are: a task sums the losses of each refit's rows in a batch at every setting, as vector operations, and only these sums are shuffled.
-    """
-    names = [first] if isinstance(first, str) else first
-    least = lambda c: F.greatest(F.col(c), F.lit(FORECAST_FLOOR))
-    rows = training.filter("p is not null").select(*KEY, "rv", "p", least(second).alias("_b"), *[least(x).alias(f"_a{k}") for k, x in enumerate(names)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, part in frame.groupby(KEY):
-                y, p, b = (part[x].to_numpy() for x in ("rv", "p", "_b"))
-                out += [(*key, k, len(part), _grid_sums(y, p, part[f"_a{k}"].to_numpy(), b).tolist()) for k in range(len(names))]
-            yield pd.DataFrame(out, columns=[*KEY, "which", "n", "sums"])
-
-    sums = rows.mapInPandas(run, "series_id string, refit_id int, which int, n long, sums array<double>")
-    each = sums.select(*KEY, "which", "n", F.posexplode("sums").alias("at", "loss")).groupBy(*KEY, "which", "at").agg((F.sum("loss") / F.sum("n")).alias("loss"))
-    best = each.groupBy(*KEY, "which").agg(F.min(F.struct(F.round("loss", 12).alias("loss"), "at")).alias("b"))
-    c, k = 0.1 + F.floor(F.col("b.at") / _KS) * 0.05, (F.pmod("b.at", F.lit(_KS)) + 1).cast("double")
-    best = best.select(*KEY, "which", c.alias("c"), k.alias("k"), F.col("b.loss").alias("train_qlike"))
-    if isinstance(first, str):
-        return best.drop("which")
-    wide = [F.max(F.when(F.col("which") == i, F.col(x))).alias(f"{x}_{name}") for i, name in enumerate(names) for x in ("c", "k", "train_qlike")]
-    return best.groupBy(*KEY).agg(*wide)
+def line_values(name: str, refits: pd.DataFrame, sigma: np.ndarray, crisis: np.ndarray) -> np.ndarray:
+    """``corrected`` for a matrix of rows x refits: the values of the line ``LINES`` names."""
+    kind, prefix = LINES[name]
+    line = lambda regime: refits[f"alpha_{prefix}{regime}"].to_numpy(float) + refits[f"beta_{prefix}{regime}"].to_numpy(float) * sigma
+    if kind == "pooled":
+        return line("pooled")
+    return np.where(crisis, line("crisis") if kind == "regime" else sigma, line("calm"))
 
 
 def blend(p: Column, c: Column, k: Column, first: Column, second: Column) -> tuple[Column, Column]:

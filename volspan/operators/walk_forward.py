@@ -76,7 +76,7 @@ def refit_moments(scheduled: DataFrame, columns: list[str], rollings: list[int],
     return out.select("series_id", "refit_id", F.col("dt").alias("refit_date"), "shift", "n", "sums", *[c for r in rollings for c in (f"n_{r}", f"sums_{r}")])
 
 
-def _solver(specs: list[Spec], columns: list[str]):
+def solver(specs: list[Spec], columns: list[str]):
     at = {c: k for k, c in enumerate(columns)}
     p = len(columns)
 
@@ -106,22 +106,19 @@ def _solver(specs: list[Spec], columns: list[str]):
     return run
 
 
-_COEFFICIENTS = "series_id string, refit_id int, refit_date date, n_train int, model string, intercept double, coef array<double>, resid_var double, se array<double>, df int"
+COEFFICIENTS = "series_id string, refit_id int, refit_date date, n_train int, model string, intercept double, coef array<double>, resid_var double, se array<double>, df int"
 
 
 def fit_models(scheduled: DataFrame, specs: list[Spec], embargo: int = 0) -> DataFrame:
     """A row per series, refit and model: ``intercept, coef, resid_var`` (of residuals, n - 1), ``se`` (intercept first) and ``df``. Models with too little history have no row."""
     columns = list(dict.fromkeys(c for s in specs for c in (s.target, *s.features)))
     moments = refit_moments(scheduled, columns, sorted({s.rolling for s in specs if s.rolling}), embargo)
-    return moments.mapInPandas(_solver(specs, columns), _COEFFICIENTS)
+    return solved(moments, specs, columns)
 
 
-def fit_groups(training: DataFrame, specs: list[Spec]) -> DataFrame:
-    """As ``fit_models``, from training rows that already belong to a refit (``series_id, refit_id``), for columns that differ by refit; moments by partial aggregates."""
-    columns = list(dict.fromkeys(c for s in specs for c in (s.target, *s.features)))
-    values = [F.col(c) for c in columns] + [F.col(columns[a]) * F.col(columns[b]) for a in range(len(columns)) for b in range(a + 1)]
-    moments = training.groupBy("series_id", "refit_id").agg(F.lit(None).cast("date").alias("refit_date"), F.array(*[F.lit(0.0)] * len(columns)).alias("shift"), F.count("*").alias("n"), F.array(*[F.sum(v) for v in values]).alias("sums"))
-    return moments.mapInPandas(_solver(specs, columns), _COEFFICIENTS)
+def solved(moments: DataFrame, specs: list[Spec], columns: list[str]) -> DataFrame:
+    """Coefficients in the form of ``fit_models`` from ``refit_moments`` of the columns."""
+    return moments.mapInPandas(solver(specs, columns), COEFFICIENTS)
 
 
 def predict(scheduled: DataFrame, coefs: DataFrame, specs: list[Spec], floor: bool = True) -> DataFrame:
@@ -142,9 +139,3 @@ def walk_forward(features: DataFrame, specs: list[Spec] = SPECS, months: int = T
     """Forecasts of all models: expanding (or rolling) history strictly before the refit, refitted every ``every`` test rows. ``embargo`` rows before the refit are left out."""
     scheduled = schedule(features, months, every, least)
     return predict(scheduled, fit_models(scheduled, specs, embargo), specs)
-
-
-def training_rows(scheduled: DataFrame, columns: list[str], embargo: int = 0) -> DataFrame:
-    """History of every refit (``series_id, refit_id, rn`` and the columns), for fits that need more than moments."""
-    refits = scheduled.filter("is_refit").select("series_id", "refit_id", F.col("rn").alias("_at"))
-    return scheduled.select("series_id", "dt", "rn", *columns).join(refits, "series_id").filter(F.col("rn") < F.col("_at") - embargo).drop("_at")

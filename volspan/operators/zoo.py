@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from volspan.operators import diagnostics as dia
 from volspan.operators import egarch
 from volspan.operators import evaluation as ev
 from volspan.operators import reports as rep
+from volspan.operators import variance_pass as vp
 from volspan.operators import walk_forward as wf
 from volspan.operators.features import HAR
 
@@ -25,83 +24,60 @@ CRISIS_PAIRS = [
     *[(other, name) for name in BLENDS for other in (COMBINED, BASE)], *[(a, b) for k, b in enumerate(BLENDS) for a in list(BLENDS)[:k]],
 ]
 ENCOMPASSING_PAIRS = [(BASE, RAW), (BASE, "M4 Log-HAR"), (BASE, "M5 Asym-HAR"), (BASE, "M6 HAR+Ret"), ("M4 Log-HAR", "M5 Asym-HAR"), ("M4 Log-HAR", RAW)]
-_COMBINED = wf.Spec(COMBINED, (*HAR, "sigma"))
 
 
-@dataclass(frozen=True)
-class Fitted:
-    """A refit's results: ``training`` and ``test`` rows with the volatility and every corrected one, ``audit`` (a row per refit) and ``linear`` coefficients."""
+def fit(scheduled: DataFrame, params: DataFrame, blends: list[str] | None = None) -> DataFrame:
+    """Everything that a refit finds under its own variance parameters (``egarch.fit_refits`` or ``fixed_refits``), one row a refit: ``refit_date``, the parameters (``eg_*``), lines, the
+    first model and the combination (``*_intercept, *_coef``), lines of least QLIKE, settings of ``blends`` (all of ``BLENDS`` if None), and ``served``, its rows' volatility."""
+    blends = list(BLENDS) if blends is None else blends
+    found = vp.with_lines(vp.summed(scheduled, params))
+    har = wf.fit_models(scheduled, wf.SPECS[:1]).select(*cor.KEY, "refit_date", F.col("intercept").alias("har_intercept"), F.col("coef").alias("har_coef"))
+    found = vp.chosen(scheduled, found.join(har, cor.KEY), [BLENDS[b] for b in blends])
+    return found.withColumnsRenamed({c: f"eg_{c}" for c in egarch.PARAMS})
+
 
-    training: DataFrame
-    test: DataFrame
-    audit: DataFrame
-    linear: DataFrame
+def audit(refits: DataFrame) -> DataFrame:
+    """The refits without the rows that they serve."""
+    return refits.drop("served", "sums", "moments", "har_intercept", "har_coef", "first", "last")
 
 
-def fit(scheduled: DataFrame, params: DataFrame, blends: list[str] | None = None) -> Fitted:
-    """Everything that a refit finds, under its own variance parameters (``egarch.fit_refits`` or ``fixed_refits``). ``blends`` chooses among ``BLENDS`` (all if None)."""
-    blends = list(BLENDS) if blends is None else blends
-    shown = scheduled.select("series_id", "dt", "rv", F.col("rv1_pctile").alias("p"), *HAR)
-    params = params.persist()  # a row per refit; every step below reads it
-    rows = egarch.filter_refits(scheduled, params).join(shown, ["series_id", "dt"]).persist()
-    training, test = rows.filter("train"), rows.filter("not train")
-    mz = cor.mz_coefficients(training).persist()
-    audit = mz.join(cor.qlike_coefficients(training, mz), cor.KEY).join(params.select(*cor.KEY, *[F.col(c).alias(f"eg_{c}") for c in egarch.PARAMS]), cor.KEY)
-    audit = audit.persist()
-    linear = wf.fit_models(scheduled, wf.SPECS).unionByName(wf.fit_groups(training, [_COMBINED]))
-    har = linear.filter(F.col("model") == BASE).select(*cor.KEY, F.col("intercept").alias("_a"), F.col("coef").alias("_b"))
-
-    def with_lines(df: DataFrame) -> DataFrame:
-        fitted = F.col("_a")
-        for k, f in enumerate(HAR):
-            fitted = fitted + F.col("_b")[k] * F.col(f)
-        sigma, p = F.col("sigma"), F.col("p")
-        kinds = {"pooled": ("pooled", ""), "regime": ("regime", ""), "q_pooled": ("pooled", "d_"), "q_regime": ("regime", "d_"), "switch": ("switch", "d_")}
-        df = df.join(audit.select(*cor.KEY, *[c for c in audit.columns if c.startswith(("alpha_", "beta_"))]), cor.KEY).join(har, cor.KEY)
-        return df.withColumns({"har": fitted, **{name: cor.corrected(sigma, p, *how) for name, how in kinds.items()}})
-
-    training, test = with_lines(training), with_lines(test)
-    if blends:
-        found = cor.grid_search(training, [BLENDS[b] for b in blends]).persist()
-        audit, test = audit.join(found, cor.KEY), test.join(found, cor.KEY)
-    return Fitted(training, test, audit.join(scheduled.filter("is_refit").select(*cor.KEY, F.col("dt").alias("refit_date")), cor.KEY), linear)
-
-
-def forecasts(scheduled: DataFrame, fitted: Fitted, blends: list[str] | None = None) -> DataFrame:
-    """``series_id, dt, model, actual, forecast`` of every model for the usable test rows."""
+def forecasts(scheduled: DataFrame, refits: DataFrame, blends: list[str] | None = None) -> DataFrame:
+    """``series_id, dt, model, actual, forecast`` of every model for the usable test rows, from one reading of ``refits``."""
     blends = list(BLENDS) if blends is None else blends
-    combined = fitted.linear.filter(F.col("model") == COMBINED).select(*cor.KEY, "intercept", "coef")
-    total = F.col("intercept")
-    for k, f in enumerate(_COMBINED.features):
-        total = total + F.col("coef")[k] * F.col(f)
-    values = {RAW: F.col("sigma"), POOLED: F.col("pooled"), REGIME: F.col("regime"), Q_POOLED: F.col("q_pooled"), Q_REGIME: F.col("q_regime"), SWITCH: F.col("switch"), COMBINED: total}
+    sigma, p = F.col("sigma"), F.col("p")
+    lines = {name: cor.corrected(sigma, p, *how) for name, how in cor.LINES.items()}
+    rows = vp.served_rows(scheduled, vp.with_combined(refits, COMBINED), ["rv", *HAR])
+    total, har = F.col("both_coef")[4] * sigma + F.col("both_intercept"), F.col("har_intercept")
+    for k, f in enumerate(HAR):
+        total, har = total + F.col("both_coef")[k] * F.col(f), har + F.col("har_coef")[k] * F.col(f)
+    values = {RAW: sigma, POOLED: lines["pooled"], REGIME: lines["regime"], Q_POOLED: lines["q_pooled"], Q_REGIME: lines["q_regime"], SWITCH: lines["switch"], COMBINED: total}
     for b in blends:
         line = BLENDS[b]
-        values[b] = cor.blend(F.col("p"), F.col(f"c_{line}"), F.col(f"k_{line}"), F.col(line), floored(F.col("har"), FORECAST_FLOOR))[1]
+        values[b] = cor.blend(p, F.col(f"c_{line}"), F.col(f"k_{line}"), lines[line], floored(har, FORECAST_FLOOR))[1]
     each = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), floored(v, FORECAST_FLOOR).alias("forecast")) for name, v in values.items()]))
-    mine = fitted.test.join(combined, cor.KEY).select("series_id", "dt", F.col("rv").alias("actual"), each).select("series_id", "dt", "model", "actual", "forecast")
-    return wf.predict(scheduled, fitted.linear.filter(F.col("model") != COMBINED), wf.SPECS).unionByName(mine)
+    mine = rows.select("series_id", "dt", F.col("rv").alias("actual"), each).select("series_id", "dt", "model", "actual", "forecast")
+    return wf.predict(scheduled, wf.fit_models(scheduled, wf.SPECS), wf.SPECS).unionByName(mine)
 
 
 def all_models(scheduled: DataFrame, params: DataFrame) -> DataFrame:
     return forecasts(scheduled, fit(scheduled, params))
 
 
-def slopes_fall(audit: DataFrame) -> DataFrame:
+def slopes_fall(refits: DataFrame) -> DataFrame:
     """Of each series: refits, whether every QLIKE fit converged, and whether its slope is above the least-squares one at every refit, or below it at every one."""
     names = ("pooled", "crisis", "calm")
     every = lambda f: F.bool_and(f(names[0]) & f(names[1]) & f(names[2]))
-    return audit.groupBy("series_id").agg(
+    return refits.groupBy("series_id").agg(
         F.count("*").alias("refits"), every(lambda n: F.col(f"converged_d_{n}")).alias("all_converged"),
         every(lambda n: F.col(f"beta_d_{n}") > F.col(f"beta_{n}")).alias("all_above"), every(lambda n: F.col(f"beta_d_{n}") < F.col(f"beta_{n}")).alias("all_below"),
         *[f(f"beta{kind}_{n}").alias(f"{name}_beta_{fit}_{n}") for n in names for fit, kind in (("ols", ""), ("qlike", "_d")) for name, f in (("least", F.min), ("most", F.max))],
     )
 
 
-def audit_ranges(audit: DataFrame) -> DataFrame:
+def audit_ranges(refits: DataFrame) -> DataFrame:
     """Per series: refits, least and most training rows and crisis rows, whether both regimes are stable at every refit, ranges of the regime lines."""
     ends = [f(c).alias(f"{name}_{c}") for c in ("n_train", "n_crisis", "n_calm", "alpha_crisis", "beta_crisis", "alpha_calm", "beta_calm") for name, f in (("least", F.min), ("most", F.max))]
-    return audit.groupBy("series_id").agg(F.count("*").alias("refits"), F.bool_and("crisis_stable").alias("crisis_stable"), F.bool_and("calm_stable").alias("calm_stable"), *ends)
+    return refits.groupBy("series_id").agg(F.count("*").alias("refits"), F.bool_and("crisis_stable").alias("crisis_stable"), F.bool_and("calm_stable").alias("calm_stable"), *ends)
 
 
 def full_report(scheduled: DataFrame, found: DataFrame) -> dict[str, DataFrame]:

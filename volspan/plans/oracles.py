@@ -152,7 +152,7 @@ def grid(line: str) -> str:
 {ols("m", SPECS[0], "ssched")},
 inputs AS MATERIALIZED (SELECT m.series_id, m.refit_id, m.dt, m.tr, m.te, s.rv, s.rv1_pctile AS p, greatest({line}, 1e-4::DOUBLE) AS a, greatest(fit, 1e-4::DOUBLE) AS b FROM m JOIN ssched s ON m.series_id = s.series_id AND m.dt = s.dt JOIN mz ON mz.series_id = m.series_id AND mz.refit_id = m.refit_id),
 tries AS (SELECT series_id, refit_id, rv, i, k, 1 / (1 + exp(-k * (p - (0.1::DOUBLE + i * 0.05::DOUBLE)))) AS w, a, b FROM inputs, range(0, 17) AS ci(i), range(1, 21) AS ck(k) WHERE tr),
-losses AS (SELECT series_id, refit_id, i, k, round(avg(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2) - ln(pow(rv / greatest(w * a + (1 - w) * b, 1e-4::DOUBLE), 2)) - 1), 12) AS loss FROM tries GROUP BY 1, 2, 3, 4),
+losses AS (SELECT series_id, refit_id, i, k, round(avg(r * r - 2 * ln(r) - 1), 12) AS loss FROM (SELECT series_id, refit_id, i, k, rv / greatest(b + w * (a - b), 1e-4::DOUBLE) AS r FROM tries) AS t GROUP BY 1, 2, 3, 4),
 best AS MATERIALIZED (SELECT series_id, refit_id, 0.1::DOUBLE + i * 0.05::DOUBLE AS c, CAST(k AS DOUBLE) AS k, loss AS train_qlike FROM (SELECT *, row_number() OVER (PARTITION BY series_id, refit_id ORDER BY loss, i, k) AS pos FROM losses) AS o WHERE pos = 1)"""
 
 
@@ -279,3 +279,5 @@ _keyed = lambda text: text.replace("PARTITION BY series_id", "PARTITION BY serie
 add("report_residuals", f"{TEN},\nres AS MATERIALIZED (SELECT series_id, model, dt, actual - forecast AS resid, pow(actual - forecast, 2) AS resid2 FROM fc),\n{_keyed(autocorrelations('res', 'resid', 20, 'ac1'))},\n{_keyed(autocorrelations('res', 'resid2', 20, 'ac2'))},\n{_keyed(_lm())}", "series_id model n ~q ~p_q ~q_squared ~p_q_squared ~lm ~p_lm", f"SELECT a.series_id, a.model, a.n, a.q, {CHI('a.q', 20)} AS p_q, b.q AS q_squared, {CHI('b.q', 20)} AS p_q_squared, lm, {CHI('lm', 10)} AS p_lm FROM ({_keyed(_lb('ac1', 'resid'))}) AS a JOIN ({_keyed(_lb('ac2', 'resid2'))}) AS b ON a.series_id = b.series_id AND a.model = b.model JOIN (SELECT series_id, model, count(*) * (1 - sum(y * y) / sum(y0 * y0)) AS lm FROM l11 GROUP BY series_id, model) AS c ON a.series_id = c.series_id AND a.model = c.model")
 _ends = [f"{f}({c}) AS {n}_{c}" for c in ("n_train", "n_crisis", "n_calm", "alpha_crisis", "beta_crisis", "alpha_calm", "beta_calm") for n, f in (("least", "min"), ("most", "max"))]
 add("fixed_refit_ranges", CORRECTED, "series_id refits crisis_stable calm_stable " + " ".join(("~" if "a_c" in x else "") + x.split(" AS ")[1] for x in _ends), f"SELECT series_id, count(*) AS refits, bool_and(crisis_stable) AS crisis_stable, bool_and(calm_stable) AS calm_stable, {', '.join(_ends)} FROM mz GROUP BY series_id")
+for _name, _of in (("feature_table_in_ranges", "feature_table"), ("refit_schedule_in_ranges", "refit_schedule"), ("rolling_ols_in_ranges", "rolling_ols_1000"), ("asof_params_in_ranges", "asof_params"), ("correlogram_in_ranges", "correlogram_rv")):
+    ORACLES[_name] = ORACLES[_of]

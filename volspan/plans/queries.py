@@ -12,7 +12,9 @@ from volspan.operators import diagnostics as dia
 from volspan.operators import egarch
 from volspan.operators import evaluation as ev
 from volspan.operators import features as fe
+from volspan.operators import ranges as ra
 from volspan.operators import reports as rep
+from volspan.operators import variance_pass as vp
 from volspan.operators import walk_forward as wf
 from volspan.operators import zoo
 from volspan.sources import bars as src
@@ -24,7 +26,6 @@ LOG_BEFORE = wf.Spec("M4 Log-HAR", tuple(fe.LOG_HAR), target="log_rv", log=True,
 MACRO = wf.Spec("M1-macro", (*fe.HAR, "event_day"))
 INFERENCE = wf.Spec("two features", ("rv1", "rv22"))
 H5 = wf.Spec("M1_h5", tuple(fe.HAR), target="target")
-H5_COMBINED = wf.Spec("M3_h5", (*fe.HAR, "sigma"), target="target")
 
 
 #: Decimal places of columns on the scale of prices or of their squares; others have six. Bars are exact and aren't rounded.
@@ -66,8 +67,14 @@ def with_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduled(spark, sf_dir).join(egarch.filter_fixed(series(spark, sf_dir)), ["series_id", "dt"])
 
 
-def training(rows: DataFrame) -> DataFrame:
-    return wf.training_rows(rows, ["rv", "sigma", "rv1_pctile"]).withColumnRenamed("rv1_pctile", "p")
+def fixed_lines(spark: SparkSession, sf_dir: str, qlike: bool = False, blends: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scheduled features with the fixed parameters' volatility, refits with their lines and, if asked for, QLIKE lines and blends of lines)."""
+    rows = with_sigma(spark, sf_dir)
+    found = vp.with_lines(vp.summed(rows, egarch.refits_of(rows)))
+    if blends:
+        har = wf.fit_models(rows, [M1]).select(*cor.KEY, F.col("intercept").alias("har_intercept"), F.col("coef").alias("har_coef"))
+        found = found.join(har, cor.KEY)
+    return rows, vp.chosen(rows, found, blends or [], qlike) if qlike or blends else found
 
 
 def evaluated(spark: SparkSession, sf_dir: str, specs: list[wf.Spec] | None = None) -> DataFrame:
@@ -82,9 +89,9 @@ VS_BASE = [(M1.name, s.name) for s in wf.SPECS[1:]]
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts of the linear models and, under the fixed variance parameters, of M2, M2b, M2c and M3, labelled by the training threshold."""
-    rows = with_sigma(spark, sf_dir)
-    lines = rows.filter("usable").join(cor.mz_coefficients(training(rows)), cor.KEY)
-    values = {zoo.RAW: F.col("sigma"), **{name: cor.corrected(F.col("sigma"), F.col("rv1_pctile"), kind) for name, kind in ((zoo.POOLED, "pooled"), (zoo.REGIME, "regime"))}}
+    rows, refits = fixed_lines(spark, sf_dir)
+    lines = vp.served_rows(rows, refits, ["rv"])
+    values = {zoo.RAW: F.col("sigma"), **{name: cor.corrected(F.col("sigma"), F.col("p"), kind) for name, kind in ((zoo.POOLED, "pooled"), (zoo.REGIME, "regime"))}}
     each = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), cor.floored(v, cor.FORECAST_FLOOR).alias("forecast")) for name, v in values.items()]))
     mine = lines.select("series_id", "dt", F.col("rv").alias("actual"), each).select("series_id", "dt", "model", "actual", "forecast")
     specs = [*wf.SPECS, COMBINED]
@@ -234,21 +241,26 @@ def h5_walk_forward(spark, d):
 
 
 def _five_ahead(spark, d):
-    """Scheduled features beside the five-row target and the simulation that ends with the training rows."""
+    """(scheduled features with the five-row target, refits by an embargoed history under their own fitted parameters, which serve simulated volatilities)."""
     ahead = fe.forward_mean(series(spark, d)).select("series_id", "dt", "target")
-    paths = egarch.simulate(series(spark, d), origin="embargoed").withColumnRenamed("forecast", "sigma")
-    return wf.schedule(features(spark, d).join(ahead, ["series_id", "dt"]).dropna(subset=["target"]).join(paths, ["series_id", "dt"]))
+    rows = wf.schedule(features(spark, d).join(ahead, ["series_id", "dt"]).dropna(subset=["target"]), least=wf.MIN_TRAIN + 5)
+    return rows, vp.summed(rows, egarch.fit_refits(rows, embargo=5), "target", horizon=5, embargo=5)
 
 
 @query
 def h5_sim_raw(spark, d):
-    return _five_ahead(spark, d).filter("usable").select("series_id", "dt", F.col("target").alias("actual"), cor.floored(F.col("sigma"), cor.FORECAST_FLOOR).alias("forecast"))
+    rows, refits = _five_ahead(spark, d)
+    return vp.served_rows(rows, refits, ["target"]).select("series_id", "dt", F.col("target").alias("actual"), cor.floored(F.col("sigma"), cor.FORECAST_FLOOR).alias("forecast"))
 
 
 @query
 def h5_combined(spark, d):
-    rows = _five_ahead(spark, d)
-    return wf.predict(rows, wf.fit_models(rows, [H5_COMBINED], embargo=5), [H5_COMBINED])
+    rows, refits = _five_ahead(spark, d)
+    served = vp.served_rows(rows, vp.with_combined(refits, "M3_h5", "target"), ["target", *fe.HAR])
+    total = F.col("both_intercept") + F.col("both_coef")[4] * F.col("sigma")
+    for k, f in enumerate(fe.HAR):
+        total = total + F.col("both_coef")[k] * F.col(f)
+    return served.select("series_id", "dt", F.lit("M3_h5").alias("model"), F.col("target").alias("actual"), cor.floored(total, cor.FORECAST_FLOOR).alias("forecast"))
 
 
 @query
@@ -274,21 +286,31 @@ def egarch_h1_fixed(spark, d):
     return scheduled(spark, d).filter("usable").select("series_id", "dt", F.col("rv").alias("actual")).join(found, ["series_id", "dt"])
 
 
+def _params(found: DataFrame) -> DataFrame:
+    return found.select("series_id", "refit_id", "n_train", *egarch.PARAMS, "loglik", "grad_norm", "converged", "nu_at_bound")
+
+
 @query
 def egarch_fit(spark, d):
-    return egarch.fit_refits(wf.training_rows(scheduled(spark, d), ["return"]))
+    return _params(egarch.fit_refits(scheduled(spark, d)))
+
+
+@query
+def egarch_fit_chained(spark, d):
+    return _params(egarch.fit_refits(scheduled(spark, d), chained=True))
 
 
 def fitted(spark, d):
     """(scheduled features, variance parameters fitted at every refit)."""
     rows = scheduled(spark, d)
-    return rows, egarch.fit_refits(wf.training_rows(rows, ["return"]))
+    return rows, egarch.fit_refits(rows)
 
 
 @query
 def egarch_refit_filter(spark, d):
-    found = egarch.filter_refits(*fitted(spark, d)).filter("train")
-    return found.groupBy("series_id", "refit_id").agg(F.count("*").alias("n"), F.avg("sigma").alias("mean_sigma"), F.max_by("sigma", "rn").alias("last_sigma"))
+    """Of each refit's own filter: rows of history, mean volatility over them, and the volatility of the first row that it serves."""
+    found = vp.summed(*fitted(spark, d))
+    return found.select("series_id", "refit_id", F.col("sums")[0].cast("long").alias("n"), (F.col("sums")[1] / F.col("sums")[0]).alias("mean_sigma"), F.col("served")[0]["sigma"].alias("first_sigma"))
 
 
 @query
@@ -298,16 +320,13 @@ def egarch_h5_sim(spark, d):
 
 @query
 def mz_correction_audit(spark, d):
-    return cor.mz_coefficients(training(with_sigma(spark, d)))
+    return fixed_lines(spark, d)[1].select("series_id", "refit_id", "n_train", *[f"{x}_{r}" for r in vp.REGIMES for x in ("beta", "alpha", "n") if (x, r) != ("n", "pooled")], "crisis_stable", "calm_stable")
 
 
-def _corrected(spark, d, kind: str, coefs=None, prefix: str = ""):
-    rows = with_sigma(spark, d)
-    found = cor.mz_coefficients(training(rows))
-    if coefs is not None:
-        found = coefs(training(rows), found)
-    rows = rows.filter("usable").join(found, ["series_id", "refit_id"])
-    return rows.select("series_id", "dt", F.col("rv").alias("actual"), cor.floored(cor.corrected(F.col("sigma"), F.col("rv1_pctile"), kind, prefix), cor.FORECAST_FLOOR).alias("forecast"))
+def _corrected(spark, d, kind: str, qlike: bool = False):
+    rows, refits = fixed_lines(spark, d, qlike)
+    value = cor.corrected(F.col("sigma"), F.col("p"), kind, "d_" if qlike else "")
+    return vp.served_rows(rows, refits, ["rv"]).select("series_id", "dt", F.col("rv").alias("actual"), cor.floored(value, cor.FORECAST_FLOOR).alias("forecast"))
 
 
 @query
@@ -327,14 +346,16 @@ def regime_switch_correction(spark, d):
 
 @query
 def qlike_affine_fit(spark, d):
-    rows = training(with_sigma(spark, d))
-    return cor.qlike_coefficients(rows, cor.mz_coefficients(rows))
+    found = fixed_lines(spark, d, qlike=True)[1]
+    return found.select("series_id", "refit_id", *[f"{x}_d_{r}" for r in vp.REGIMES for x in ("alpha", "beta", "converged")])
 
 
 @query
 def qlike_corrections(spark, d):
-    kinds = [(k, _corrected(spark, d, k, cor.qlike_coefficients, "d_").withColumn("kind", F.lit(k))) for k in ("pooled", "regime", "switch")]
-    return kinds[0][1].unionByName(kinds[1][1]).unionByName(kinds[2][1])
+    rows, refits = fixed_lines(spark, d, qlike=True)
+    served = vp.served_rows(rows, refits, ["rv"])
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), cor.floored(cor.corrected(F.col("sigma"), F.col("p"), k, "d_"), cor.FORECAST_FLOOR).alias("forecast")) for k in ("pooled", "regime", "switch")]))
+    return served.select("series_id", "dt", F.col("rv").alias("actual"), kinds)
 
 
 @query
@@ -343,37 +364,26 @@ def combined_har_sigma(spark, d):
     return wf.predict(rows, wf.fit_models(rows, [COMBINED]), [COMBINED])
 
 
-def _blend_inputs(spark, d, kind: str = "pooled", coefs=None, prefix: str = ""):
-    """(training, test) rows with the two forecasts that a blend weighs: ``vol``, corrected by regime as ``kind`` says, and ``har``."""
-    rows = with_sigma(spark, d)
-    har, mz = wf.fit_models(rows, [M1]), cor.mz_coefficients(training(rows))
-    if coefs is not None:
-        mz = coefs(training(rows), mz)
-    lines = [f"{c}_{prefix}{r}" for r in ("pooled", "crisis", "calm") for c in ("alpha", "beta")]
-    both = har.select("series_id", "refit_id", "intercept", "coef").join(mz.select("series_id", "refit_id", *lines), ["series_id", "refit_id"])
-    fitted = F.col("intercept")
-    for k, f in enumerate(M1.features):
-        fitted = fitted + F.col("coef")[k] * F.col(f)
-    add = lambda x: x.join(both, ["series_id", "refit_id"]).withColumn("har", fitted).withColumn("vol", cor.corrected(F.col("sigma"), F.col("p"), kind, prefix))
-    train = add(wf.training_rows(rows, ["rv", "sigma", "rv1_pctile", *fe.HAR]).withColumnRenamed("rv1_pctile", "p"))
-    return train, add(rows.filter("usable").withColumnRenamed("rv1_pctile", "p"))
-
-
 @query
 def logistic_grid_search(spark, d):
-    return cor.grid_search(_blend_inputs(spark, d)[0])
+    found = fixed_lines(spark, d, blends=["pooled"])[1]
+    return found.select("series_id", "refit_id", *[F.col(f"{x}_pooled").alias(x) for x in ("c", "k", "train_qlike")])
 
 
-def _blended(spark, d, *how):
-    train, test = _blend_inputs(spark, d, *how)
-    w, blend = cor.blend(F.col("p"), F.col("c"), F.col("k"), F.col("vol"), cor.floored(F.col("har"), cor.FORECAST_FLOOR))
+def _blended(spark, d, line: str):
+    rows, refits = fixed_lines(spark, d, line in ("q_regime", "switch"), [line])
+    har = F.col("har_intercept")
+    for k, f in enumerate(M1.features):
+        har = har + F.col("har_coef")[k] * F.col(f)
+    first = cor.corrected(F.col("sigma"), F.col("p"), *cor.LINES[line])
+    w, blend = cor.blend(F.col("p"), F.col(f"c_{line}"), F.col(f"k_{line}"), first, cor.floored(har, cor.FORECAST_FLOOR))
     regime = F.when(cor.in_crisis(F.col("p")), "crisis").otherwise("calm")
-    return test.join(cor.grid_search(train), ["series_id", "refit_id"]).select("series_id", "dt", F.col("rv").alias("actual"), blend.alias("forecast"), w.alias("w"), regime.alias("regime"))
+    return vp.served_rows(rows, refits, ["rv", *fe.HAR]).select("series_id", "dt", F.col("rv").alias("actual"), blend.alias("forecast"), w.alias("w"), regime.alias("regime"))
 
 
 @query
 def regime_blend(spark, d):
-    return _blended(spark, d)
+    return _blended(spark, d, "pooled")
 
 
 @query
@@ -383,17 +393,50 @@ def regime_blend_split(spark, d):
 
 @query
 def regime_blend_qlike(spark, d):
-    return _blended(spark, d, "regime", cor.qlike_coefficients, "d_")
+    return _blended(spark, d, "q_regime")
 
 
 @query
 def regime_blend_switch(spark, d):
-    return _blended(spark, d, "switch", cor.qlike_coefficients, "d_")
+    return _blended(spark, d, "switch")
 
 
 @query
 def weight_distribution(spark, d):
-    return ev.weight_distribution(_blended(spark, d))
+    return ev.weight_distribution(_blended(spark, d, "pooled"))
+
+
+# One series over many tasks: the same results by ranges of time
+RANGES = 8
+
+
+@query
+def feature_table_in_ranges(spark, d):
+    return ra.feature_table(bars(spark, d), RANGES)
+
+
+@query
+def refit_schedule_in_ranges(spark, d):
+    return ra.schedule(ra.feature_table(bars(spark, d), RANGES), RANGES).filter("is_refit").select("series_id", "refit_id", F.col("dt").alias("refit_date"), F.col("rn").alias("n_train"))
+
+
+@query
+def rolling_ols_in_ranges(spark, d):
+    spec, rows = wf.SPECS[4], scheduled(spark, d)
+    columns = [spec.target, *spec.features]
+    return wf.predict(rows, wf.solved(ra.refit_moments(rows, columns, [spec.rolling], RANGES), [spec], columns), [spec])
+
+
+@query
+def asof_params_in_ranges(spark, d):
+    rows = scheduled(spark, d)
+    changes = rows.filter("is_refit").select("series_id", "dt", F.col("rn").alias("n_train"))
+    return ra.last_known(rows.filter("is_test").select("series_id", "dt"), changes, ["n_train"], RANGES)
+
+
+@query
+def correlogram_in_ranges(spark, d):
+    return dia.correlogram(dia.with_pacf(ra.acf(series(spark, d).filter("rv is not null"), "rv", 30, RANGES), 30), ["series_id"])
 
 
 # Evaluation
@@ -523,18 +566,18 @@ def all_models_dm_tests(spark, d):
 
 @query
 def all_models_refit_audit(spark, d):
-    return zoo.fit(*fitted(spark, d)).audit
+    return zoo.audit(zoo.fit(*fitted(spark, d)))
 
 
 @query
 def all_models_slopes(spark, d):
-    audit = zoo.fit(*fitted(spark, d), blends=[]).audit
-    return zoo.slopes_fall(audit).join(zoo.audit_ranges(audit).drop("refits"), "series_id")
+    refits = zoo.fit(*fitted(spark, d), blends=[])
+    return zoo.slopes_fall(refits).join(zoo.audit_ranges(refits).drop("refits"), "series_id")
 
 
 @query
 def fixed_refit_ranges(spark, d):
-    return zoo.audit_ranges(cor.mz_coefficients(training(with_sigma(spark, d))))
+    return zoo.audit_ranges(fixed_lines(spark, d)[1])
 
 
 @query
