@@ -230,7 +230,7 @@ def test_quasi_newton_on_many_lanes():
         a = (lanes + 1.0) * 10
         return (1 - x[:, 0]) ** 2 + a * (x[:, 1] - x[:, 0] ** 2) ** 2, np.stack([-2 * (1 - x[:, 0]) - 4 * a * x[:, 0] * (x[:, 1] - x[:, 0] ** 2), 2 * a * (x[:, 1] - x[:, 0] ** 2)], axis=1)
 
-    x, value, left = minimize_lanes(f, np.array([[-1.2, 1.0]] * 12 + [[1.0, 1.0]]), 1e-8)
+    x, value, left = minimize_lanes(f, np.array([[-1.2, 1.0]] * 12 + [[1.0, 1.0]]), 1e-8, gain=1e-20)
     assert x == pytest.approx(np.ones((13, 2)), abs=1e-6) and (value < 1e-12).all() and (left <= 1e-8).all()
 
 

@@ -32,13 +32,14 @@ def minimize_lanes(f: Objective, start: np.ndarray, tolerance: float = 1e-5, mos
             s, y = to[good] - x[won], g[good] - slope[won]
             sy = np.einsum("ij,ij->i", s, y)
             x[won], value[won], slope[won] = to[good], v[good], g[good]
-            curved = sy > 1e-12
+            curved = sy > 1e-10 * np.sqrt(np.einsum("ij,ij->i", s, s) * np.einsum("ij,ij->i", y, y))
             h, s, y, rho = inverse[won[curved]], s[curved], y[curved], 1.0 / sy[curved]
             scale = np.where(fresh[won[curved]], sy[curved] / np.maximum(np.einsum("ij,ij->i", y, y), 1e-300), 1.0)
             left = eye - rho[:, None, None] * s[:, :, None] * y[:, None, :]
             inverse[won[curved]] = left @ (h * scale[:, None, None]) @ left.transpose(0, 2, 1) + rho[:, None, None] * s[:, :, None] * s[:, None, :]
             fresh[won[curved]] = False
-            way[won], step[won] = -np.einsum("ijk,ik->ij", inverse[won], slope[won]), 1.0
+            way[won] = -np.einsum("ijk,ik->ij", inverse[won], slope[won])
+            step[won] = np.where(curved, 1.0, np.minimum(step[won] * 2.5, 1e6))  # longer where the slope doesn't rise
         step[lost] *= 0.3
         # Uphill, or nothing to win by a step: start again along the steepest descent, once.
         flat = live[np.einsum("ij,ij->i", slope[live], way[live]) * step[live] > -gain]
