@@ -23,7 +23,8 @@ from volspan.functions.volatility import FORECAST_FLOOR, floored
 
 #: mu, omega, alpha, gamma, beta, nu
 PARAMS = ("mu", "omega", "alpha", "gamma", "beta", "nu")
-FIXED = {"mu": 0.0, "omega": 0.05, "alpha": 0.15, "gamma": -0.05, "beta": 0.95, "nu": 8.0}
+#: Near the fits of the whole ``ALL`` series.
+FIXED = {"mu": 1.0, "omega": 9.3, "alpha": 0.6, "gamma": 0.02, "beta": 0.1, "nu": 15.0}
 _MEAN_ABS = math.sqrt(2 / math.pi)
 #: Refits that run side by side in one task.
 LANES = 256

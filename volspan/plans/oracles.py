@@ -45,7 +45,7 @@ SCHED = f"{FEATS},\n{sched()}"
 P = FIXED
 SIGMA = f"""seq AS (SELECT series_id, dt, ret, row_number() OVER {W} AS k FROM vol WHERE ret IS NOT NULL),
 filt AS (SELECT series_id, k, dt, ret, {P["omega"] / (1 - P["beta"])!r}::DOUBLE AS v FROM seq WHERE k = 1
- UNION ALL SELECT s.series_id, s.k, s.dt, s.ret, least(greatest({P["omega"]!r}::DOUBLE + {P["alpha"]!r}::DOUBLE * (abs(f.ret * exp(-f.v / 2)) - {math.sqrt(2 / math.pi)!r}::DOUBLE) + ({P["gamma"]!r}::DOUBLE) * (f.ret * exp(-f.v / 2)) + {P["beta"]!r}::DOUBLE * f.v, -50.0::DOUBLE), 50.0::DOUBLE) FROM filt f JOIN seq s ON s.series_id = f.series_id AND s.k = f.k + 1),
+ UNION ALL SELECT s.series_id, s.k, s.dt, s.ret, least(greatest({P["omega"]!r}::DOUBLE + {P["alpha"]!r}::DOUBLE * (abs(f.z) - {math.sqrt(2 / math.pi)!r}::DOUBLE) + ({P["gamma"]!r}::DOUBLE) * f.z + {P["beta"]!r}::DOUBLE * f.v, -50.0::DOUBLE), 50.0::DOUBLE) FROM (SELECT *, (ret - {P["mu"]!r}::DOUBLE) * exp(-v / 2) AS z FROM filt) AS f JOIN seq s ON s.series_id = f.series_id AND s.k = f.k + 1),
 sigma AS (SELECT series_id, dt, exp(v / 2) AS sigma FROM filt),
 ssched AS (SELECT s.*, g.sigma FROM sched s JOIN sigma g ON s.series_id = g.series_id AND s.dt = g.dt)"""
 
