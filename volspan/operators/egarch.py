@@ -310,7 +310,9 @@ def over_lanes(scheduled: DataFrame, columns: list[str], refits: DataFrame, run:
             return pd.DataFrame({k.split()[0]: pd.Series(dtype=object) for k in re.sub("<.*?>", "", schema).split(", ")})
         return run(rows.sort_values("rn"), refits.sort_values("refit_id"))
 
-    rows, given = rows.toDF(*rows.columns), given.toDF(*given.columns)  # columns of their own: both sides may come from the same table
+    # Columns of their own: both sides may come from the same table. A fixed number of partitions, since few bytes are much work here and must not be put together.
+    tasks = 4 * int(scheduled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, given = (x.toDF(*x.columns).repartition(tasks, "series_id", "block") for x in (rows, given))
     return rows.groupBy("series_id", "block").cogroup(given.groupBy("series_id", "block")).applyInPandas(ordered, schema)
 
 
