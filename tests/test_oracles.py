@@ -7,7 +7,7 @@ import __spark_entry__
 from volspan import catalog
 
 SF = "/root/testdata/sf0.01"
-SOME = ["daily_bars", "hourly_bars", "feature_table", "asof_params", "event_dummy", "regime_blend_split", "rolling_ols_1000", "ridge_kitchen_sink", "mz_regime_correction", "dm_tests", "correlogram_rv", "arch_lm", "report_encompassing", "report_residuals", "report_wins"]
+SOME = ["daily_bars", "hourly_bars", "feature_table", "asof_params", "event_dummy", "regime_blend_split", "rolling_ols_1000", "ridge_kitchen_sink", "mz_regime_correction", "dm_tests", "correlogram_rv", "arch_lm", "report_encompassing", "report_residuals", "report_wins", "trailing_rank_in_ranges", "price_percentiles", "crisis_thresholds_refined", "csv_malformed_lines", "bars_csv_round_trip", "bars_parquet_round_trip", "regime_blend_rebuilt"]
 
 
 @pytest.fixture(scope="module")

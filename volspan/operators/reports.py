@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from volspan.functions.volatility import FORECAST_FLOOR, floored
+from volspan.operators import corrections as cor
+from volspan.operators import features as fe
+
+#: What a stored history keeps of a refit, beside ``series_id`` and its date ``dt``.
+HISTORY = ["c", "k", "alpha_pooled", "beta_pooled", "har_intercept", "har_coef"]
+
 
 def crisis_threshold(features: DataFrame, scheduled: DataFrame | None = None, kind: str = "training") -> DataFrame:
     """``series_id, threshold``: the 0.9 quantile of rv over ``training`` rows (before the first test row), ``before_split`` rows (before the split date), ``test`` rows or ``all`` rows."""
@@ -47,3 +54,21 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("series_id", "dt", "actual", F.col("forecast").alias("before")).join(after.select("series_id", "dt", F.col("forecast").alias("after")), ["series_id", "dt"])
     rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("actual") - F.col(c), 2)))
     return both.groupBy("series_id").agg(F.count("*").alias("n"), rmse("before").alias("rmse_before"), rmse("after").alias("rmse_after"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_abs_diff"))
+
+
+def rebuilt_blend(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """``series_id, dt, c, k, rebuilt``: the blend of the pooled line and the first model, from a stored table of refits (``HISTORY``) whose settings are carried forward by date. ``rows``
+    have volatility, features and percentile; a row before the first refit has nulls."""
+    known = fe.last_known(rows.select("series_id", "dt", "sigma", "rv1_pctile", *fe.HAR), history.select("series_id", "dt", *HISTORY), HISTORY)
+    har = F.col("har_intercept")
+    for j, f in enumerate(fe.HAR):
+        har = har + F.col("har_coef")[j] * F.col(f)
+    first = F.col("alpha_pooled") + F.col("beta_pooled") * F.col("sigma")
+    return known.select("series_id", "dt", "c", "k", cor.blend(F.col("rv1_pctile"), F.col("c"), F.col("k"), first, floored(har, FORECAST_FLOOR))[1].alias("rebuilt"))
+
+
+def reconstruction(rebuilt: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Per series: rows, the rebuilt mean, and the largest difference between rebuilt and given forecasts; a row that only one side has makes it infinite."""
+    both = forecasts.select("series_id", "dt", "forecast").join(rebuilt.select("series_id", "dt", "rebuilt"), ["series_id", "dt"], "full")
+    off = F.coalesce(F.abs(F.col("forecast") - F.col("rebuilt")), F.lit(float("inf")))
+    return both.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("rebuilt").alias("mean_rebuilt"), F.max(off).alias("max_abs_diff"))

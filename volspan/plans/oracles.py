@@ -281,3 +281,9 @@ _ends = [f"{f}({c}) AS {n}_{c}" for c in ("n_train", "n_crisis", "n_calm", "alph
 add("fixed_refit_ranges", CORRECTED, "series_id refits crisis_stable calm_stable " + " ".join(("~" if "a_c" in x else "") + x.split(" AS ")[1] for x in _ends), f"SELECT series_id, count(*) AS refits, bool_and(crisis_stable) AS crisis_stable, bool_and(calm_stable) AS calm_stable, {', '.join(_ends)} FROM mz GROUP BY series_id")
 for _name, _of in (("feature_table_in_ranges", "feature_table"), ("refit_schedule_in_ranges", "refit_schedule"), ("rolling_ols_in_ranges", "rolling_ols_1000"), ("asof_params_in_ranges", "asof_params"), ("correlogram_in_ranges", "correlogram_rv")):
     ORACLES[_name] = ORACLES[_of]
+for _name, _of in (("trailing_rank_in_ranges", "rolling_pct_rank_252"), ("bars_csv_round_trip", "daily_bars"), ("bars_parquet_round_trip", "daily_bars")):
+    ORACLES[_name] = ORACLES[_of]
+add("price_percentiles", "px AS (SELECT l_returnflag, l_extendedprice / l_quantity AS px FROM lineitem WHERE l_quantity > 0)", "l_returnflag ~percentile p", " UNION ALL ".join(f"SELECT l_returnflag, quantile_cont(px, {p}) AS percentile, {p}::DOUBLE AS p FROM px GROUP BY l_returnflag" for p in (0.0, 0.5, 0.9, 0.99, 1.0)))
+add("crisis_thresholds_refined", f"{SCHED},\n{THRESHOLD}", "series_id ~threshold", "SELECT * FROM thr")
+add("csv_malformed_lines", "x AS (SELECT l_returnflag AS flag, l_linenumber < 5 AS good, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_shipdate AS DATE) AS day FROM lineitem)", "flag n_good n_bad ~quantity last_day", "SELECT flag, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad, sum(quantity) FILTER (WHERE good) AS quantity, max(day) FILTER (WHERE good) AS last_day FROM x GROUP BY flag")
+add("regime_blend_rebuilt", BLEND, "series_id n ~mean_rebuilt equal", "SELECT series_id, count(*) AS n, avg(forecast) AS mean_rebuilt, true AS equal FROM blended GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from volspan.operators import diagnostics as dia
 from volspan.operators import egarch
 from volspan.operators import evaluation as ev
 from volspan.operators import features as fe
+from volspan.operators import quantiles as qu
 from volspan.operators import ranges as ra
 from volspan.operators import reports as rep
+from volspan.operators import trailing
 from volspan.operators import variance_pass as vp
 from volspan.operators import walk_forward as wf
 from volspan.operators import zoo
 from volspan.sources import bars as src
+from volspan.sources.stored import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 M1 = wf.SPECS[0]
@@ -161,6 +165,33 @@ def data_summary(spark, d):
     return rep.summary(series(spark, d), features(spark, d))
 
 
+@query
+def bars_csv_round_trip(spark, d):
+    path = new_folder(spark)
+    src.write_table(bars(spark, d), path)
+    return src.read_csv(spark, path, src.BAR_SCHEMA, "fail")
+
+
+@query
+def bars_parquet_round_trip(spark, d):
+    path = new_folder(spark)
+    src.write_table(bars(spark, d), path, "parquet")
+    return src.read_bars(spark, path)
+
+
+@query
+def csv_malformed_lines(spark, d):
+    """Lines of text, some with a field missing, one too many or no number where one belongs: what the reader reports, by the first field."""
+    field = lambda *x: F.concat_ws(",", "l_returnflag", *x)
+    day, quantity, n = F.to_date("l_shipdate").cast("string"), F.col("l_quantity").cast("double").cast("string"), F.col("l_linenumber")
+    line = F.when(n == 5, field(day)).when(n == 6, field(day, F.lit("n/a"))).when(n == 7, field(day, quantity, F.lit("more"))).otherwise(field(day, quantity))
+    path = new_folder(spark)
+    table(spark, d, "lineitem").select(line.alias("value")).write.text(path)
+    found = src.read_csv(spark, path, "flag string, day date, quantity double", "report", header=False)
+    good = F.col("bad_line").isNull()
+    return found.groupBy("flag").agg(F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"), F.sum(F.when(good, F.col("quantity"))).alias("quantity"), F.max(F.when(good, F.col("day"))).alias("last_day"))
+
+
 # Splits, schedules, regimes, lookups
 
 
@@ -406,6 +437,16 @@ def weight_distribution(spark, d):
     return ev.weight_distribution(_blended(spark, d, "pooled"))
 
 
+@query
+def regime_blend_rebuilt(spark, d):
+    """The blend's forecasts against those rebuilt from a written table of its refits."""
+    rows, refits = fixed_lines(spark, d, blends=["pooled"])
+    dates = rows.filter("is_refit").select("series_id", "refit_id", "dt")
+    history = stored(refits.withColumnsRenamed({"c_pooled": "c", "k_pooled": "k"}).join(dates, cor.KEY).select("series_id", "dt", *rep.HISTORY))
+    found = rep.reconstruction(rep.rebuilt_blend(rows.filter("usable"), history), _blended(spark, d, "pooled"))
+    return found.select("series_id", "n", "mean_rebuilt", (F.col("max_abs_diff") < 1e-12).alias("equal"))
+
+
 # One series over many tasks: the same results by ranges of time
 RANGES = 8
 
@@ -439,6 +480,25 @@ def correlogram_in_ranges(spark, d):
     return dia.correlogram(dia.with_pacf(ra.acf(series(spark, d).filter("rv is not null"), "rv", 30, RANGES), 30), ["series_id"])
 
 
+@query
+def trailing_rank_in_ranges(spark, d):
+    rows = fe.lag_features(series(spark, d)).select("series_id", "dt", "rv1")
+    return trailing.trailing_rank(rows, "rv1", "rv1_pctile", 252, RANGES).select("series_id", "dt", "rv1_pctile")
+
+
+@query
+def price_percentiles(spark, d):
+    """Percentiles of single prices by return flag; groups above 5,000 rows are narrowed down before any value is gathered."""
+    lines = table(spark, d, "lineitem").filter("l_quantity > 0").select("l_returnflag", (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
+    found = [qu.exact_percentile(lines, ["l_returnflag"], "px", p, most=5000).withColumn("p", F.lit(p)) for p in (0.0, 0.5, 0.9, 0.99, 1.0)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def crisis_thresholds_refined(spark, d):
+    return qu.exact_percentile(scheduled(spark, d).filter("not is_test"), ["series_id"], "rv", 0.9, "threshold", 200)
+
+
 # Evaluation
 
 
@@ -647,6 +707,17 @@ def report_crisis_bars(spark, d):
     return ev.metrics(reported(spark, d)).filter("subsample = 'crisis'").filter(F.col("model").isin(M1.name, zoo.RAW, zoo.POOLED, zoo.REGIME, COMBINED.name)).select("series_id", "model", "n", "qlike")
 
 
+@query
+def headline_crisis_bars(spark, d):
+    """Loss in crises of the first model, the raw variance and its four corrections, those of least QLIKE included."""
+    rows, refits = fixed_lines(spark, d, qlike=True)
+    kinds = {zoo.RAW: F.col("sigma"), **{name: cor.corrected(F.col("sigma"), F.col("p"), *cor.LINES[line]) for name, line in ((zoo.POOLED, "pooled"), (zoo.REGIME, "regime"), (zoo.Q_REGIME, "q_regime"), (zoo.SWITCH, "switch"))}}
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), cor.floored(v, cor.FORECAST_FLOOR).alias("forecast")) for name, v in kinds.items()]))
+    mine = vp.served_rows(rows, refits, ["rv"]).select("series_id", "dt", F.col("rv").alias("actual"), each).select("series_id", "dt", "model", "actual", "forecast")
+    found = wf.predict(rows, wf.fit_models(rows, [M1]), [M1]).unionByName(mine)
+    return ev.metrics(ev.label_regimes(found, rep.crisis_threshold(rows, rows))).filter("subsample = 'crisis'").select("series_id", "model", "n", "qlike")
+
+
 @query
 def report_residuals(spark, d):
     return dia.residual_tests(reported(spark, d))

@@ -18,8 +18,20 @@ def read_bars(spark: SparkSession, path: str, format: str = "parquet") -> DataFr
     return bars
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+def read_csv(spark: SparkSession, path: str, schema: str, on_error: str = "null", header: bool = True) -> DataFrame:
+    """CSV with a declared schema. A field that doesn't parse, or a line with too few or too many fields, gives nulls (``null``), ends the job (``fail``), or gives nulls and keeps the
+    line in a column ``bad_line``, null elsewhere (``report``). The last two look at every field, whatever columns are used later."""
+    reader = spark.read.option("header", header)
+    if on_error == "null":
+        return reader.schema(schema).csv(path)
+    if on_error == "fail":
+        found = reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    elif on_error == "report":
+        found = reader.option("columnNameOfCorruptRecord", "bad_line").schema(f"{schema}, bad_line string").csv(path)
+    else:
+        raise ValueError(f"unknown way to meet errors: {on_error}")
+    # Spark only parses fields that a plan uses; a filter that all rows pass uses them all.
+    return found.filter(F.xxhash64("*") >= -(1 << 63))
 
 
 def write_table(df: DataFrame, path: str, format: str = "csv") -> None:
