@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 
@@ -65,6 +66,37 @@ def test_bars_take_first_and_last_by_order(spark):
     assert (got["N"]["high"], got["N"]["low"]) == (13.0, 10.5)
 
 
+TRADES = "l_returnflag string, l_shipdate date, l_extendedprice double, l_quantity double, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+
+
+def test_bars_with_nulls_and_ties_by_direct_computation(spark):
+    rng = random.Random(5)
+    some = lambda *x: rng.choice(x)
+    rows = [(some("A", "N", "ALL", None), some(DAY, DAY + dt.timedelta(1), None), some(10.0, 20.0, 35.0, None), some(1.0, 2.0, 0.0, None), some(1, 2, 3, None), some(1, 2, None), some(1, 2), some(1, None)) for _ in range(400)]
+    rows += [("only nulls", DAY, 7.0 + k, 1.0, None, k, 1, 1) for k in range(3)] + [("one", None, 3.0, 1.0, 1, 1, 1, 1), ("no price", DAY, None, 1.0, 1, 1, 1, 1)]
+    groups: dict = {}
+    for flag, day, total, quantity, *order in rows:
+        if quantity:
+            px = None if total is None else total / quantity
+            for series in ("ALL", flag):
+                groups.setdefault((series, day), []).append(([(v is not None, v or 0) for v in (*order, px)], px))
+    expected = set()
+    for key, trades in groups.items():
+        prices = [px for _, px in trades if px is not None]
+        expected.add((*key, min(trades)[1], max(prices, default=None), min(prices, default=None), max(trades)[1]))
+    got = [tuple(r) for r in src.lineitem_bars(spark.createDataFrame(rows, TRADES)).select("series_id", "dt", "open", "high", "low", "close").collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_bars_sort_only_the_trades_at_their_ends(spark):
+    """An aggregate of structs sorts its rows, and spills them; before the join with the bars' ends none may."""
+    plan = src.lineitem_bars(spark.createDataFrame([], TRADES))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    sorting = [k for k, line in enumerate(lines) if "SortAggregate" in line or " Sort " in line]
+    joins = [k for k, line in enumerate(lines) if "Join" in line]
+    assert sorting and joins and max(sorting) < joins[0]
+
+
 def test_files_round_trip(spark, tmp_path):
     df = make(spark, [10.0, 11.0])
     for kind in ("csv", "parquet"):

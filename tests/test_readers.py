@@ -42,6 +42,15 @@ def test_stored_keeps_rows_and_types(spark):
     assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect()) and stored(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["daily_bars", "mz_tests", "h5_walk_forward", "egarch_h1_fixed", "crisis_thresholds_refined", "regime_blend_rebuilt"])
+def test_a_query_derives_its_bars_once(spark, monkeypatch, name):
+    derive, calls = src.lineitem_bars, []
+    monkeypatch.setattr(src, "lineitem_bars", lambda lines: calls.append(1) or derive(lines))
+    q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2
+
+
 def test_reconstruction_sees_missing_and_changed_rows(spark):
     schema = "series_id string, dt int, {} double"
     rebuilt = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 1.0), ("c", 1, 5.0)], schema.format("rebuilt"))
