@@ -51,6 +51,14 @@ def test_a_query_derives_its_bars_once(spark, monkeypatch, name):
     assert len(calls) == 2
 
 
+def test_rows_of_a_refined_percentile_are_not_derived_in_every_round(spark, monkeypatch):
+    find, seen = q.qu.exact_percentile, []
+    monkeypatch.setattr(q.qu, "exact_percentile", lambda rows, *more: seen.append(rows) or find(rows, *more))
+    q.QUERIES["crisis_thresholds_refined"](spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and "FileScan" in plan and "Window" not in plan and "Exchange" not in plan
+
+
 def test_reconstruction_sees_missing_and_changed_rows(spark):
     schema = "series_id string, dt int, {} double"
     rebuilt = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 1.0), ("c", 1, 5.0)], schema.format("rebuilt"))
