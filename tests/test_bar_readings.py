@@ -5,7 +5,7 @@ import pytest
 from volspan.plans import queries as q
 from volspan.sources import bars as src
 
-NAMES = ["h5_sim_raw"]
+NAMES = ["h5_sim_raw", "egarch_fit"]
 
 
 @pytest.mark.parametrize("name", NAMES)
