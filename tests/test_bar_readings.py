@@ -5,7 +5,7 @@ import pytest
 from volspan.plans import queries as q
 from volspan.sources import bars as src
 
-NAMES = ["h5_sim_raw", "egarch_fit", "egarch_fit_chained", "encompassing", "h5_walk_forward"]
+NAMES = ["h5_sim_raw", "egarch_fit", "egarch_fit_chained", "encompassing", "h5_walk_forward", "metrics_by_regime"]
 
 
 @pytest.mark.parametrize("name", NAMES)
