@@ -5,7 +5,7 @@ import pytest
 from volspan.plans import queries as q
 from volspan.sources import bars as src
 
-NAMES = ["h5_sim_raw", "egarch_fit", "egarch_fit_chained", "encompassing", "h5_walk_forward", "metrics_by_regime", "row_losses", "regime_blend_split", "regime_blend", "report_metrics", "weight_distribution", "regime_switch_correction", "fixed_refit_ranges", "combined_har_sigma"]
+NAMES = ["h5_sim_raw", "egarch_fit", "egarch_fit_chained", "encompassing", "h5_walk_forward", "metrics_by_regime", "row_losses", "regime_blend_split", "regime_blend", "report_metrics", "weight_distribution", "regime_switch_correction", "fixed_refit_ranges", "combined_har_sigma", "egarch_h1_fixed"]
 
 
 @pytest.mark.parametrize("name", NAMES)
