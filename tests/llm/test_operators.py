@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import unicodedata
@@ -10,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from volspan.llm import chat, components, decontaminate, jaccard_join, packing, robust, rule_ensemble, secrets, sharding, suffix_dedup, token_files
+from volspan.llm import chat, common, components, decontaminate, jaccard_join, packing, robust, rule_ensemble, secrets, sharding, suffix_dedup, token_files
 from volspan.llm.queries import CONTROL_TEXT, tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, shard string, score double, _rank int, `group` int, component long, s_digits double"
@@ -314,6 +315,25 @@ def test_shards_of_copies_only(spark):
     assert set(collections.Counter(r["shard"] for r in got).values()) == {20}
 
 
+def test_tables_of_shard_rounds_have_few_files(spark):
+    df = spark.createDataFrame([(k, f"text {k % 150}") for k in range(600)], "doc_id long, text string").repartition(3)
+    tables = pathlib.Path(common.work_dir(spark).removeprefix("file:")) / "tables"
+    before = set(tables.glob("*"))
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = sharding.shard_documents(df, 6)
+        assert got.rdd.getNumPartitions() == 1
+        assert set(collections.Counter(r["shard"] for r in got.collect()).values()) == {100}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = sorted(len(list(x.glob("part-*"))) for x in set(tables.glob("*")) - before)
+    assert len(files) > 4 and files[-2:] == [1, 3], "only the first table, read from the documents, has their partitions"
+
+
 @pytest.mark.parametrize("length", [8, 13, 24])
 def test_bucket_sort_finds_equal_windows(length):
     rng = np.random.default_rng(length)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, two_level_rank
+from .common import in_few_parts, materialize, partitions_for, two_level_rank
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str], weight: str, start: str) -> DataFrame:
@@ -41,7 +41,7 @@ def admit(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int,
 
 def propagate(pieces: DataFrame, edges: DataFrame | None, capacity: list[int], rounds: int) -> DataFrame:
     """``pieces``: ``v, shard, n`` of linked vertices; ``edges``: ``v, u`` both ways, or None. Returns the pieces after at most ``rounds`` rounds; sums by shard stay within capacity."""
-    k, least = len(capacity), max(1, min(capacity))
+    k, least, n_pieces = len(capacity), max(1, min(capacity)), pieces.count()
     for k_round in range(rounds):
         votes = pieces
         if edges is not None:
@@ -55,8 +55,8 @@ def propagate(pieces: DataFrame, edges: DataFrame | None, capacity: list[int], r
         home = F.element_at("homes", (F.pmod(F.xxhash64("v", "shard"), F.size("homes").cast("long")) + 1).cast("int"))
         moves = pieces.join(homes, "v").select("v", "shard", "n", F.when(stays, F.col("shard")).otherwise(home["shard"]).alias("to"), F.when(stays, 0).otherwise(home["votes"]).alias("gain"))
         order = F.shiftleft(F.lit(1024) - F.least(F.col("gain"), F.lit(1024)), 48) + F.pmod(F.xxhash64("v", "shard"), F.lit(1 << 48))
-        moves = materialize(moves.withColumn("order", order))
-        table = moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # a matrix of shards
+        moves = materialize(moves.withColumn("order", order), n_pieces)
+        table = moves.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.count("*").alias("pieces")).collect()  # a matrix of shards
         load = [sum(r["n"] for r in table if r["shard"] == s) for s in range(k)]
         granted = admit({(r["shard"], r["to"]): r["n"] for r in table if r["shard"] != r["to"]}, [c - x for c, x in zip(capacity, load, strict=True)])
         if not any(granted.values()):
@@ -67,7 +67,8 @@ def propagate(pieces: DataFrame, edges: DataFrame | None, capacity: list[int], r
         asked = asked.withColumn("gone", gone)
         after = moves.filter("shard = to").select("v", "shard", "n")
         after = after.unionByName(asked.select("v", F.col("to").alias("shard"), F.col("gone").alias("n"))).unionByName(asked.select("v", "shard", (F.col("n") - F.col("gone")).alias("n")))
-        pieces = materialize(after.filter("n > 0").groupBy("v", "shard").agg(F.sum("n").alias("n")))
+        n_pieces = sum(r["pieces"] * (1 + (r["shard"] != r["to"])) for r in table)  # at most, as each that moves may be split
+        pieces = materialize(after.filter("n > 0").groupBy("v", "shard").agg(F.sum("n").alias("n")), n_pieces)
     return pieces
 
 
@@ -81,12 +82,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.md5(text)).alias("v"), F.monotonically_increasing_id().alias("_row"))
     order = ["doc_id", "text_crc32", "v", "_row"]  # the row's number spreads repeated ids over tasks
-    rows = materialize(two_level_rank(materialize(rows), [], order, "_rank").withColumn("shard", F.pmod("_rank", F.lit(n_shards)).cast("int")).drop("_rank"))
-    capacity = [0] * n_shards
-    for r in rows.groupBy("shard").count().collect():  # one row per shard
-        capacity[r[0]] = r[1]
+    rows = materialize(rows)
+    n = rows.count()
+    rows = materialize(two_level_rank(rows, [], order, "_rank").withColumn("shard", F.pmod("_rank", F.lit(n_shards)).cast("int")).drop("_rank"), n)
+    capacity = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]  # ranks have no gaps
 
-    pieces = materialize(rows.groupBy("v", "shard").agg(F.count("*").alias("n")))
+    pieces = materialize(rows.groupBy("v", "shard").agg(F.count("*").alias("n")), n)
     linked = pieces.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1").select("v")
     edges = None
     if links is not None:
@@ -94,7 +95,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
         pairs = links.join(ids.select(F.col("doc_id").alias("a"), F.col("v").alias("_v")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("v").alias("_u")), "b").filter("_v <> _u")
         edges = materialize(pairs.select(F.col("_v").alias("v"), F.col("_u").alias("u")).union(pairs.select("_u", "_v")).distinct())
         linked = linked.union(edges.select("v")).distinct()
-    pieces = propagate(materialize(pieces.join(linked, "v", "left_semi")), edges, capacity, rounds)
+    pieces = propagate(materialize(pieces.join(linked, "v", "left_semi"), n), edges, capacity, rounds)
 
     placed = running_start(pieces.withColumn("v_order", F.col("v")), ["shard"], ["v_order"], "n", "slot").drop("v_order")
     upto = F.sum("n").over(W.partitionBy("v").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
@@ -113,4 +114,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, links: DataFrame | None
     dealt = dealt.withColumn("parts", F.coalesce("parts", free)).withColumn("own", F.when(F.col("parts") != free, F.col("v")))
     ranked = two_level_rank(dealt.withColumn("own", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["own"], order, "_rank")
     part = F.element_at(F.filter("parts", lambda p: p["first"] <= F.col("_rank")), -1)
-    return ranked.withColumn("_p", part).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_p.shard").alias("shard"), (F.col("_p.slot") + F.col("_rank") - F.col("_p.first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt = ranked.withColumn("_p", part).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_p.shard").alias("shard"), (F.col("_p.slot") + F.col("_rank") - F.col("_p.first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return in_few_parts(dealt, n)
