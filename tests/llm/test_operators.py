@@ -5,10 +5,12 @@ import hashlib
 import pathlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from volspan.llm import chat, common, components, decontaminate, jaccard_join, packing, robust, rule_ensemble, secrets, sharding, suffix_dedup, token_files
@@ -394,6 +396,42 @@ def test_repeats_by_row_whatever_the_ids(spark, docs, rows, hot):
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == expected
 
 
+def test_repeats_leave_no_shuffle_files_and_deal_contexts_once(spark, docs):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = lambda: {p for d in env.blockManager().diskBlockManager().localDirsString() for p in pathlib.Path(d).glob("*/shuffle_*.data")}
+    joins, dropped = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = {k: spark.conf.get(k) for k in (joins, dropped)}
+    before = shuffled()
+    try:
+        spark.conf.set(joins, "-1")
+        got = suffix_dedup.remove_repeats(docs)
+        for _ in range(50):  # files go a moment after their query
+            if not (left := shuffled() - before):
+                break
+            time.sleep(0.1)
+        assert not left, "the steps' shuffle files stay until the driver collects garbage"
+        assert spark.conf.get(dropped) == kept[dropped], "the session's own setting is back"
+        plan = got._jdf.queryExecution().toString()
+        assert not re.search(r"SortMergeJoin \[anchor|hashpartitioning\(anchor.*REPARTITION", plan)
+        assert "BroadcastHashJoin [anchor" in plan and "rangepartitioning(lead" in plan
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_segments_only_passed_on_are_short():
+    prose = "".join(random.Random(9).choices("abcdefgh ", k=900))
+    packed = next(suffix_dedup._squeeze(iter([pa.RecordBatch.from_pydict({"row": [1, 2, 3], "doc_id": [1, 2, 3], "text": [prose] * 3})])))
+    found = next(suffix_dedup._emit_segments(200, 64)(iter([packed]))).to_pylist()
+    others = [x for x in found if x["kind"] == 2]
+    assert len(others) == 2 * len([x for x in found if x["kind"] == 1]) > 0
+    assert {(x["print"], x["print2"]) for x in others} == {(0, 0)} and all(x["print"] and x["print2"] for x in found if x["kind"] == 1)
+    found.sort(key=lambda x: (x["anchor"], x["print"], x["print2"]))
+    whole = [x for b in suffix_dedup._classify(iter([pa.RecordBatch.from_pylist(found, pa.schema([*[(c, pa.int64()) for c in ("anchor", "print", "print2", "row", "at")], ("kind", pa.int8())]))])) for x in b.to_pylist()]
+    assert sorted((x["row"], x["at"]) for x in whole) == sorted((x["row"], x["at"]) for x in found)
+    assert {(x["todo"], x["anchor"]) for x in whole} == {(0, 0)}
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 150])
 def test_contamination(spark, docs, rows, empty, block):
     w = re.findall(decontaminate.__dict__.get("WORDS", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), rows[4][1])

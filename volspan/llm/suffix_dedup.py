@@ -84,6 +84,7 @@ def _emit_segments(length: int, anchor: int):
             many = np.bincount(run_of)[run_of] > 1
             kind = np.where(new, many.astype(np.int8), np.int8(2))  # 0: alone here, 1: stands for repeats, 2: another of them, only passed on
             key = np.where(kind == 2, (where[order] * np.int64(0x9E3779B97F4A7C1)) >> np.int64(12), a)
+            p, q = np.where(kind == 2, 0, p), np.where(kind == 2, 0, q)
             owner = part.column("row").take(pa.array(s["text"][order]))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p), pa.array(q), owner, pa.array(where[order]), pa.array(kind)], ["anchor", "print", "print2", "row", "at", "kind"])
 
@@ -91,12 +92,13 @@ def _emit_segments(length: int, anchor: int):
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor and fingerprints: whole repeats, and segments to compare. Holds one row between batches."""
+    """From rows sorted by anchor and fingerprints: whole repeats (without their anchors), and segments to compare. Holds one row between batches."""
     names = ["row", "at", "anchor", "todo", "full"]
 
     def out(b: pa.RecordBatch, rows: np.ndarray, todo: int, full: np.ndarray) -> pa.RecordBatch:
         t = b.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([t["row"], t["at"], t["anchor"], pa.array(np.full(len(rows), todo, np.int8)), pa.array(full)], names)
+        anchors = t["anchor"] if todo == _COMPARE else pa.array(np.zeros(len(rows), np.int64))
+        return pa.RecordBatch.from_arrays([t["row"], t["at"], anchors, pa.array(np.full(len(rows), todo, np.int8)), pa.array(full)], names)
 
     held, held_done, earlier = None, False, False  # the last run's first row; whether it is known to be a repeat; whether its anchor had a run before
     for batch in batches:
@@ -321,6 +323,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ``docs``: ``doc_id`` and ``text``; other columns are ignored. Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes), one row per
     input row. Every row is a text of its own, whatever its id: null and repeated ids are allowed, with equal texts or different ones, and a row that repeats another is
     a repeat of its text. Null and empty texts, and those shorter than ``length``, keep all. A window may hold at most 1,023 places for its anchor.
+
+    Anchors in more than ``hot_rows`` segments to compare are broadcast, at most one for so many segments; contexts are dealt out once, by their leading bytes.
     """
     if not 8 <= anchor <= length or length - anchor + 1 > 1023:
         raise ValueError("the anchor must be shorter than the string, by 1,022 bytes at most")
@@ -334,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     contexts = materialize(
         packed.select("row", "packed").join(todo, "row").mapInArrow(_contexts(length), "lead long, anchor long, row long, at long, full boolean, context binary")
     )
-    hot = contexts.groupBy("anchor").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("anchor")
+    hot = F.broadcast(found.filter(F.col("todo") == _COMPARE).groupBy("anchor").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).select("anchor"))
     usual = contexts.join(hot, "anchor", "left_anti").repartitionByRange(n, "lead", "anchor").sortWithinPartitions("lead", "anchor")
     parts = usual.select("anchor", "row", "at", "full", "context").mapInArrow(_compare(length, 4096), "row long, lo long, hi long")
     windows = contexts.join(hot, "anchor", "left_semi").select("row", "at", "full", "context").mapInArrow(_single_windows(length), "print long, print2 long, row long, lo long, full boolean")
